@@ -14,6 +14,7 @@ from spindrift.llm import compression_quality, near_duplicates, op_packing, op_q
 from spindrift.llm.decontamination import remove_documents
 from spindrift.llm.packing import pack_documents
 from spindrift.llm.storage import fresh_path
+from spindrift.shipping import ship
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied, in order, to the whole of ``documents``."""
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)

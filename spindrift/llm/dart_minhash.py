@@ -82,23 +82,59 @@ def shingles(raw: np.ndarray) -> np.ndarray:
 _FINEST = 8
 
 
-def _cells(upto: float) -> tuple[np.ndarray, np.ndarray]:
-    edges = [0.0, *(2.0**-i for i in range(_FINEST, 0, -1)), *np.arange(1.0, max(2.0, math.ceil(upto) + 1.0))]
-    edges = np.array([e for i, e in enumerate(edges) if i == 0 or edges[i - 1] < upto])
-    return edges[:-1], np.diff(edges)
+def _cells(upto: float) -> int:
+    """How many cells reach from rank 0 to ``upto``."""
+    return _FINEST + math.ceil(upto) if upto > 1 else max(1, _FINEST + 1 + math.ceil(math.log2(upto)) if upto > 2.0**-_FINEST else 1)
+
+
+def _edges(first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and width of the cells first to last - 1."""
+    c = np.arange(first, last)
+    starts = np.where(c > _FINEST, c - float(_FINEST), np.where(c > 0, 2.0 ** (np.minimum(c, _FINEST) - 1 - _FINEST), 0.0))
+    return starts, np.where(c > _FINEST, 1.0, np.where(c > 0, starts, 2.0**-_FINEST))
+
+
+_MOST = 24
 
 
 def _poisson_steps(mean: float) -> np.ndarray:
     p, total, out = math.exp(-mean), 0.0, []
-    for i in range(1, 24):
+    for i in range(1, _MOST):
         total += p
-        out.append(total)
+        out.append(min(total, 1.0))
         p *= mean / i
     return np.array(out)
 
 
-_STEPS: dict[float, np.ndarray] = {2.0**-i: _poisson_steps(2.0**-i) for i in range(_FINEST + 1)}
+#: By kind of cell (its number, all of width 1 alike): i + the steps of the distribution of its darts.
+_STEPS = np.concatenate([i + _poisson_steps(w) for i, w in enumerate([2.0**-_FINEST, *(2.0**-j for j in range(_FINEST, 0, -1)), 1.0])])
+_SALTS = mix(np.arange(1, 1 << 12, dtype=U) * U(_BASE))
 _SCALE = 2.0**-32
+#: Element-cells worked on at once.
+_AT_ONCE = 1 << 18
+
+
+def _darts(elements: np.ndarray, limit: np.ndarray | None, k: int, first: int, last: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ranks, coordinates and names of all darts of the elements in cells first to last - 1."""
+    starts, widths = _edges(first, last)
+    salts = _SALTS[first:last] if last < len(_SALTS) else mix(np.arange(first + 1, last + 1, dtype=U) * U(_BASE))
+    kind = np.minimum(np.arange(first, last), _FINEST + 1)
+    step = max(1, _AT_ONCE // len(salts))
+    for at in range(0, len(elements), step):
+        block = elements[at : at + step]
+        names = mix(block[:, None] ^ salts[None, :]).ravel()
+        u = (names >> U(32)) * _SCALE
+        count = np.searchsorted(_STEPS, (u.reshape(len(block), -1) + kind).ravel(), side="right") - np.tile(kind * (_MOST - 1), len(block))
+        hit = np.flatnonzero(count)
+        many = count[hit]
+        owner = np.repeat(hit, many)
+        number = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+        darts = mix(names[owner] + (number + 1).astype(U) * U(0xD1342543DE82EF95))
+        if limit is not None:
+            keep = (mix(darts) >> U(32)) * _SCALE <= limit[at + owner // len(salts)]
+            darts, owner = darts[keep], owner[keep]
+        cell = owner % len(salts)
+        yield starts[cell] + widths[cell] * ((darts >> U(32)) * _SCALE), (((darts & U(0xFFFFFFFF)) * U(k)) >> U(32)).astype(np.int64), darts
 
 
 def signature(elements: np.ndarray, k: int, weights: np.ndarray | None = None) -> np.ndarray:
@@ -113,37 +149,22 @@ def signature(elements: np.ndarray, k: int, weights: np.ndarray | None = None) -
         elements = mix(np.repeat(elements, rows) + strip.astype(U) * U(_BASE))
     if not len(elements):
         return np.zeros(0, dtype=U)
-    total = float(len(elements) if weights is None else weights.sum())
-    reach = k * (math.log(k) + 3) / total
-    low, lowest, best = 0.0, np.full(k, np.inf), np.zeros(k, dtype=U)
-    done = 0
+    reach = k * (math.log(k) + 3) / float(len(elements) if weights is None else weights.sum())
+    lowest, best, done = np.full(k, np.inf), np.zeros(k, dtype=U), 0
     while True:
-        starts, widths = _cells(reach)
-        for c in range(done, len(starts)):
-            names = mix(elements ^ mix(np.full(1, c + 1, dtype=U) * U(_BASE)))
-            count = np.searchsorted(_STEPS[widths[c]], (names >> U(32)) * _SCALE, side="right")
-            hit = np.flatnonzero(count)
-            if not len(hit):
-                continue
-            many = count[hit]
-            number = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            darts = mix(np.repeat(names[hit], many) + (number + 1).astype(U) * U(0xD1342543DE82EF95))
-            if limit is not None:
-                keep = (mix(darts) >> U(32)) * _SCALE <= np.repeat(limit[hit], many)
-                darts = darts[keep]
-            rank = starts[c] + widths[c] * ((darts >> U(32)) * _SCALE)
-            place = (((darts & U(0xFFFFFFFF)) * U(k)) >> U(32)).astype(np.int64)
-            order = np.argsort(-rank, kind="stable")
-            rank, place, darts = rank[order], place[order], darts[order]
-            first = np.full(k, np.inf)
-            name = np.zeros(k, dtype=U)
-            first[place], name[place] = rank, darts  # the last written is the lowest
+        upto = max(_cells(reach), done + 1)
+        for rank, place, darts in _darts(elements, limit, k, done, upto):
+            order = np.argsort(-rank)
+            place = place[order]
+            first, name = np.full(k, np.inf), np.zeros(k, dtype=U)
+            first[place], name[place] = rank[order], darts[order]  # the last written is the lowest
             better = first < lowest
             lowest[better], best[better] = first[better], name[better]
-        done, low = len(starts), float(starts[-1] + widths[-1])
+        done = upto
+        low = float(sum(x[0] for x in _edges(upto - 1, upto)))
         if lowest.max() < low:
             return best
-        reach = max(2 * low, 2.0**-_FINEST)
+        reach = 1.5 * low
 
 
 def bands(sig: np.ndarray, rows: int) -> np.ndarray:

@@ -4,10 +4,11 @@ Two texts are near duplicates if the Jaccard similarity of their sets of five-wo
 "count" makes the signatures those of shingle counts). With 35 bands of 6 coordinates a pair at 0.8 shares a band with
 probability 0.99998, and more above. What shares a band is only compared, never taken as alike.
 
-Exact copies share one node from the start. A bucket (a band's key) never expands to pairs: in each round one
-leader of each bucket is compared with one representative of every other component in the bucket, so that the work is
-linear in bucket entries. Components that turn out linked are merged, and rounds go on, each with other leaders and
-representatives, until one finds no further link. Hot buckets (a third of all rows in one group) meet only
+Exact copies share one node from the start. A bucket (a band's key) never expands to all its pairs. First each node is
+compared with one leader of its buckets, which joins large groups at once. Then buckets that still hold more than one
+component are dealt into cells of about ``CELL`` nodes, and nodes of different components in a cell are compared: a bucket
+no larger than a cell is thereby done completely, a larger one is dealt again, otherwise, until a round links nothing more.
+The work of a round is linear in bucket entries, and hot buckets (a third of all rows in one group) meet only
 pre-aggregation and joins that Spark can split.
 
 Defined cases: a null text is a class of its own; texts without words (also empty ones) are alike only if equal; shorter
@@ -32,6 +33,8 @@ from spindrift.llm.storage import discard, materialize
 
 SIMILARITY = 0.8
 BANDS, ROWS = 35, 6
+#: Nodes of a bucket that are compared with each other in one round.
+CELL = 8
 #: Texts that a task remembers, so that copies in it are hashed once.
 KEPT_TEXTS = 1 << 20
 
@@ -78,17 +81,28 @@ def signed(df: DataFrame, *, key: str = "doc_id", text: str = "text", weighting:
     return df.select(F.col(key).cast("long"), string, h1, h2).mapInArrow(made, "rid long, id long, h1 long, h2 long, bands array<long>, shingles array<int>")
 
 
-def _pairs(entries: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-    """Pairs to compare (a, b, shared bands): in each bucket, a leader and one node of every other component there."""
-    if labels is None:
-        reps = entries.select("band", F.col("node").alias("component"), "node").distinct()
-    else:
-        known = entries.join(labels, "node", "left").select("band", F.coalesce("component", "node").alias("component"), "node")
-        reps = known.groupBy("band", "component").agg(F.min_by("node", F.xxhash64("node", "band", F.lit(turn))).alias("node"))
-    order = F.xxhash64("component", F.lit(turn))
-    leaders = reps.groupBy("band").agg(F.min(F.struct(order.alias("o"), F.col("component").alias("c"), F.col("node").alias("n"))).alias("l"), F.count("*").alias("k")).where("k > 1")
-    met = reps.join(leaders, "band").where(F.col("component") != F.col("l.c"))
-    return met.groupBy(F.col("l.n").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"))
+def _leader_pairs(entries: DataFrame) -> DataFrame:
+    """For each node the leader (of one of its buckets) that shares most buckets with it: pairs a, b."""
+    rows = entries.select("band", "node")
+    leaders = rows.groupBy("band").agg(F.min_by("node", F.xxhash64("node")).alias("a"))
+    shared = rows.join(leaders, "band").where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("shared"))
+    return shared.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
+
+
+def _open_buckets(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Entries of buckets that hold more than one component, with the component and the bucket's size."""
+    known = entries.withColumn("component", F.col("node")) if labels is None else entries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = known.groupBy("band").agg(F.count("*").alias("k"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("band", "k")
+    return known.join(sizes, "band").select("band", "node", "component", "k")
+
+
+def _cell_pairs(opened: DataFrame, turn: int) -> DataFrame:
+    """Pairs of different components in the same cell. A bucket of at most ``CELL`` nodes is one cell, so all of its pairs are
+    there; a larger one is dealt, anew in each round, into cells of about as many, which keeps the pairs linear."""
+    cell = F.pmod(F.xxhash64("node", "band", F.lit(turn)), F.ceil(F.col("k") / CELL).cast("long"))
+    dealt = opened.select("band", "node", "component", F.when(F.col("k") <= CELL, F.lit(0)).otherwise(cell).cast("long").alias("cell"))
+    left, right = dealt.select("band", "cell", F.col("node").alias("a"), F.col("component").alias("ca")), dealt.select("band", "cell", F.col("node").alias("b"), F.col("component").alias("cb"))
+    return left.join(right, ["band", "cell"]).where("ca < cb").select("a", "b").distinct()
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -112,38 +126,31 @@ def near_duplicate_classes(df: DataFrame, *, key: str = "doc_id", text: str = "t
     entries = materialize(entries.join(shared, "band", "left_semi"), "entries")
     sets = table.where("shingles is not null").select("rid", "shingles")
 
-    labels, links, turn = None, None, 0
+    links = materialize(_linked(_leader_pairs(entries), sets, similarity), "links")
+    labels, turn = materialize(connected_components(links), "labels"), 0
     while True:
-        pairs = _pairs(entries, labels, turn)
-        if labels is None:  # first the most likely partner of each text
-            pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
-        found = materialize(_linked(pairs, sets, similarity), "links")
-        if found.isEmpty():
-            discard(found)
-            if turn:
-                break
-            found = None
-        if found is not None:
-            links = found if links is None else links.unionByName(found)
         turn += 1
-        if links is not None:
-            last = labels
-            labels = materialize(connected_components(links), "labels")
-            if last is not None:
-                discard(last)
-        elif turn == 1:
-            labels = None
+        opened = materialize(_open_buckets(entries, labels), "open")
+        if opened.isEmpty():
+            break
+        found = materialize(_linked(_cell_pairs(opened, turn), sets, similarity), "links")
+        new = not found.isEmpty()
+        if new:
+            links = links.unionByName(found)
+            last, labels = labels, materialize(connected_components(links), "labels")
+            discard(last)
+        # buckets of one cell are done; larger ones are dealt again until a round links nothing more
+        entries = opened.where(F.col("k") > CELL).select("node", "band")
+        if not new:
             break
-    node = texts if labels is None else texts.join(labels, "node", "left")
-    node = node.select("h1", "h2", F.coalesce("component", "node").alias("c") if labels is not None else F.col("node").alias("c"))
+    node = texts.join(labels, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("c"))
     rows = table.select("rid", "id", "h1", "h2").join(node, ["h1", "h2"], "left").select("rid", "id", "h1", "h2", F.coalesce("c", "rid").alias("c"))
     first = rows.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("rid").alias("rid"))).alias("f"), F.count("*").alias("class_rows"))
     result = rows.join(first, "c").select("id", "h1", "h2", F.col("f.id").alias("class_id"), "class_rows", (F.col("rid") == F.col("f.rid")).alias("first"))
     result = materialize(result, "classes")
-    for used in (table, texts, entries, labels):
-        if used is not None:
-            discard(used)
-    del table, texts, banded, entries, shared, sets, labels, links, found, node, rows, first
+    for used in (table, texts, labels):
+        discard(used)
+    del table, texts, banded, entries, shared, sets, labels, links, opened, node, rows, first
     gc.collect()  # lets Spark remove the shuffles of what is gone
     df.sparkSession.sparkContext._jvm.System.gc()
     return result
