@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spindrift.plans.features import FEATURES
 from spindrift.plans.queries_sql import SQL
 from spindrift.plans.sql import run_sql
 
@@ -14,5 +15,5 @@ def _from_text(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, folder: run_sql(spark, folder, text)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _from_text(text) for name, text in SQL.items()}
-ORACLES: dict[str, str] = dict(SQL)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _from_text(text) for name, text in SQL.items()} | {name: query for name, (query, _) in FEATURES.items()}
+ORACLES: dict[str, str] = dict(SQL) | {name: text for name, (_, text) in FEATURES.items()}
