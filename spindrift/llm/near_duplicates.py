@@ -5,9 +5,9 @@ Two texts are near duplicates if the Jaccard similarity of their sets of five-wo
 probability 0.99998, and more above. What shares a band is only compared, never taken as alike.
 
 Exact copies share one node from the start. A bucket (a band's key) never expands to all its pairs. First each node is
-compared with one leader of its buckets, which joins large groups at once. Then buckets that still hold more than one
-component are dealt into cells of about ``CELL`` nodes, and nodes of different components in a cell are compared: a bucket
-no larger than a cell is thereby done completely, a larger one is dealt again, otherwise, until a round links nothing more.
+compared with a few leaders of its buckets, which joins large groups at once. Then buckets that still hold more than one
+component are dealt into cells, and nodes of different components in a cell are compared: a bucket of at most ``CELL`` nodes
+is one cell and so done completely, a larger one is dealt again, otherwise, until a round links nothing more.
 The work of a round is linear in bucket entries, and hot buckets (a third of all rows in one group) meet only
 pre-aggregation and joins that Spark can split.
 
@@ -33,8 +33,10 @@ from spindrift.llm.storage import discard, materialize
 
 SIMILARITY = 0.8
 BANDS, ROWS = 35, 6
-#: Nodes of a bucket that are compared with each other in one round.
-CELL = 8
+#: Buckets up to this many nodes are compared completely; larger ones are dealt into cells of about ``DEAL`` nodes.
+CELL, DEAL = 8, 5
+#: Orders in which buckets choose a leader in the first round.
+ORDERS = 3
 #: Texts that a task remembers, so that copies in it are hashed once.
 KEPT_TEXTS = 1 << 20
 
@@ -82,11 +84,13 @@ def signed(df: DataFrame, *, key: str = "doc_id", text: str = "text", weighting:
 
 
 def _leader_pairs(entries: DataFrame) -> DataFrame:
-    """For each node the leader (of one of its buckets) that shares most buckets with it: pairs a, b."""
-    rows = entries.select("band", "node")
-    leaders = rows.groupBy("band").agg(F.min_by("node", F.xxhash64("node")).alias("a"))
-    shared = rows.join(leaders, "band").where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("shared"))
-    return shared.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
+    """For each node, and each of a few orders, the leader of one of its buckets that shares most buckets with it: pairs
+    a, b."""
+    order = [F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"l{i}") for i in range(ORDERS)]
+    leaders = entries.groupBy("band").agg(*order)
+    led = entries.join(leaders, "band").select(F.col("node").alias("b"), F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"l{i}").alias("a")) for i in range(ORDERS)))).alias("x")).select("b", "x.i", "x.a").where("a <> b")
+    shared = led.groupBy("b", "i", "a").agg(F.count("*").alias("shared"))
+    return shared.groupBy("b", "i").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b").distinct()
 
 
 def _open_buckets(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -98,8 +102,8 @@ def _open_buckets(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def _cell_pairs(opened: DataFrame, turn: int) -> DataFrame:
     """Pairs of different components in the same cell. A bucket of at most ``CELL`` nodes is one cell, so all of its pairs are
-    there; a larger one is dealt, anew in each round, into cells of about as many, which keeps the pairs linear."""
-    cell = F.pmod(F.xxhash64("node", "band", F.lit(turn)), F.ceil(F.col("k") / CELL).cast("long"))
+    there; a larger one is dealt, anew in each round, into cells of about ``DEAL``, which keeps the pairs linear."""
+    cell = F.pmod(F.xxhash64("node", "band", F.lit(turn)), F.ceil(F.col("k") / DEAL).cast("long"))
     dealt = opened.select("band", "node", "component", F.when(F.col("k") <= CELL, F.lit(0)).otherwise(cell).cast("long").alias("cell"))
     left, right = dealt.select("band", "cell", F.col("node").alias("a"), F.col("component").alias("ca")), dealt.select("band", "cell", F.col("node").alias("b"), F.col("component").alias("cb"))
     return left.join(right, ["band", "cell"]).where("ca < cb").select("a", "b").distinct()
@@ -124,7 +128,9 @@ def near_duplicate_classes(df: DataFrame, *, key: str = "doc_id", text: str = "t
     # buckets of one text need no further look
     shared = entries.groupBy("band").agg(F.count("*").alias("k")).where("k > 1").select("band")
     entries = materialize(entries.join(shared, "band", "left_semi"), "entries")
-    sets = table.where("shingles is not null").select("rid", "shingles")
+    # from here on only the shingles of texts that share a bucket are read
+    nodes = entries.select(F.col("node").alias("rid")).distinct()
+    sets = materialize(table.where("shingles is not null").select("rid", "shingles").join(nodes, "rid", "left_semi"), "sets")
 
     links = materialize(_linked(_leader_pairs(entries), sets, similarity), "links")
     labels, turn = materialize(connected_components(links), "labels"), 0
@@ -148,9 +154,9 @@ def near_duplicate_classes(df: DataFrame, *, key: str = "doc_id", text: str = "t
     first = rows.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("rid").alias("rid"))).alias("f"), F.count("*").alias("class_rows"))
     result = rows.join(first, "c").select("id", "h1", "h2", F.col("f.id").alias("class_id"), "class_rows", (F.col("rid") == F.col("f.rid")).alias("first"))
     result = materialize(result, "classes")
-    for used in (table, texts, labels):
+    for used in (table, texts, sets, labels):
         discard(used)
-    del table, texts, banded, entries, shared, sets, labels, links, opened, node, rows, first
+    del table, texts, banded, entries, shared, nodes, sets, labels, links, opened, node, rows, first
     gc.collect()  # lets Spark remove the shuffles of what is gone
     df.sparkSession.sparkContext._jvm.System.gc()
     return result
