@@ -54,7 +54,8 @@ def hash_join(left: DataFrame, right: DataFrame, how: str, left_keys: Sequence[s
     if how == "right_semi":
         return hash_join(right, left, "left_semi", right_keys, left_keys)
     right, names = _apart(left, right)
-    on = [left[a] == right[names.get(b, b)] for a, b in zip(left_keys, right_keys, strict=True)]
+    renamed = {a.lower(): b for a, b in names.items()}
+    on = [left[a] == right[renamed.get(b.lower(), b)] for a, b in zip(left_keys, right_keys, strict=True)]
     return left.join(right, on, JOINS[how])
 
 
