@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.training import Logistic, class_weights, labelled_sample
 
-PER_CLASS, MAX_ENTRIES = 4000, 20_000
+PER_CLASS, MAX_ENTRIES = 2500, 20_000
 #: A learned entry stands in so many toxic texts, and contexts there, at least, and has these log odds at least.
-MIN_CONTEXTS, MIN_LOG_ODDS, FULL_LOG_ODDS = 4, 3.0, 5.0
+MIN_CONTEXTS, MIN_LOG_ODDS, FULL_LOG_ODDS = 8, 3.0, 5.0
 STEM_CHARS, MIN_ENDINGS = (4, 5, 6, 7, 8), 4
 #: How many words a negation and a target reach.
 NEGATION_REACH, TARGET_REACH = 3, 4
@@ -206,19 +206,20 @@ class ToxicityModel:
 def learn_lexicon(sample: list[tuple[str, int]]) -> tuple[dict[str, float], dict[str, float]]:
     """Words and stems of insults with weights up to 1."""
     word = re.compile(r"[^\W\d_]+")
-    contexts: dict[str, set] = defaultdict(set)
     texts: Counter = Counter()
     clean: Counter = Counter()
     for text, y in sample:
-        found = word.findall(text.lower())
+        (texts if y else clean).update(set(word.findall(text.lower())))
+    # only words of several toxic texts need their contexts told apart, which keeps the sets few
+    contexts: dict[str, set[int]] = {w: set() for w, n in texts.items() if n > 1 and len(w) > 1}
+    for text, y in sample:
         if y:
-            texts.update(set(found))
+            found = word.findall(text.lower())
             for a, b, c in zip(["", *found], found, [*found[1:], ""], strict=False):
-                if len(b) > 1:
-                    contexts[b].add((a, c))
-        else:
-            clean.update(set(found))
-    seen = {w: min(len(c), texts[w]) for w, c in contexts.items()}
+                if (held := contexts.get(b)) is not None and len(held) < texts[b]:
+                    held.add(hash((a, c)))
+    seen = {w: len(contexts[w]) if w in contexts else n for w, n in texts.items() if len(w) > 1}
+    del contexts
     toxic, other = (max(sum(v == y for _, v in sample), 1) for y in (1, 0))
 
     def weight(n: int, m: int) -> float:
