@@ -34,7 +34,7 @@ from spindrift.llm.storage import discard, materialize
 SIMILARITY = 0.8
 BANDS, ROWS = 35, 6
 #: Buckets up to this many nodes are compared completely; larger ones are dealt into cells of about ``DEAL`` nodes.
-CELL, DEAL = 8, 5
+CELL, DEAL = 8, 4
 #: Orders in which buckets choose a leader in the first round.
 ORDERS = 3
 #: Texts that a task remembers, so that copies in it are hashed once.
