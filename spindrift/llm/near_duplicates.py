@@ -7,9 +7,12 @@ probability 0.99998, and more above. What shares a band is only compared, never
 Exact copies share one node from the start. A bucket (a band's key) never expands to all its pairs. First each node is
 compared with a few leaders of its buckets, which joins large groups at once. Then buckets that still hold more than one
 component are dealt into cells, and nodes of different components in a cell are compared: a bucket of at most ``CELL`` nodes
-is one cell and so done completely, a larger one is dealt again, otherwise, until a round links nothing more.
+is one cell and so done completely, a larger one is dealt again, otherwise, for a few rounds. At last the buckets that are
+still open are finished exactly: they are cut into blocks, and each pair of blocks is a task's group of bounded size in which
+all nodes of different components are compared. Only pairs inside a bucket's largest component are left out.
 The work of a round is linear in bucket entries, and hot buckets (a third of all rows in one group) meet only
-pre-aggregation and joins that Spark can split.
+pre-aggregation and joins that Spark can split; the last pass grows with the product of what is not linked in a bucket and
+its size, spread over groups.
 
 Defined cases: a null text is a class of its own; texts without words (also empty ones) are alike only if equal; shorter
 texts than a shingle are one shingle; repeated rows are copies of each other; an empty table gives no rows; the input's
@@ -35,6 +38,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 35, 6
 #: Buckets up to this many nodes are compared completely; larger ones are dealt into cells of about ``DEAL`` nodes.
 CELL, DEAL = 8, 4
+#: Rounds of dealing before the buckets still open are finished exactly.
+DEALS = 2
+#: A block of an open bucket has about so many nodes, and so many shingles, at most.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 #: Orders in which buckets choose a leader in the first round.
 ORDERS = 3
 #: Texts that a task remembers, so that copies in it are hashed once.
@@ -117,6 +124,58 @@ def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return joined.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), both.alias("both")).where(F.col("both") >= similarity * (F.col("na") + F.col("nb") - F.col("both"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _blocks(opened: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows band, lo, hi, me, node, component: every two nodes of different components in a bucket meet in a group (band, lo,
+    hi). A bucket's largest component has blocks of its own, numbered after the others', which never meet each other."""
+    known = opened.join(sets.select(F.col("rid").alias("node"), F.size("shingles").cast("long").alias("n")), "node")
+    parts = known.groupBy("band", "component").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    largest = F.struct("k", "component")
+    buckets = parts.groupBy("band").agg(F.max_by("component", largest).alias("major"), F.max_by("k", largest).alias("mk"), F.max_by("n", largest).alias("mn"), F.sum("k").alias("k"), F.sum("n").alias("n"))
+    many = lambda k, n: F.ceil(F.greatest(k / BLOCK, n / BLOCK_SHINGLES)).cast("int")
+    buckets = buckets.select("band", "major", many(F.col("k") - F.col("mk"), F.col("n") - F.col("mn")).alias("minors"), many(F.col("mk"), F.col("mn")).alias("majors"))
+    held, mix = opened.join(buckets, "band"), F.xxhash64("node", F.lit(0))
+    major = F.col("component") == F.col("major")
+    me = F.when(major, F.col("minors") + F.pmod(mix, "majors")).otherwise(F.pmod(mix, "minors")).cast("int")
+    met = F.sequence(F.lit(0), F.when(major, F.col("minors")).otherwise(F.col("minors") + F.col("majors")) - 1)
+    dealt = held.select("band", "node", "component", me.alias("me"), F.explode(met).alias("other"))
+    return dealt.select("band", F.least("me", "other").alias("lo"), F.greatest("me", "other").alias("hi"), "me", "node", "component")
+
+
+def _compared(table: pa.Table, similarity: float) -> pa.Table:
+    """Links between the two blocks of a group (or in its one block) that join different components, no more than it takes."""
+    node, label, me, lo, hi = (table.column(c).to_numpy().copy() for c in ("node", "component", "me", "lo", "hi"))
+    column = table.column("shingles").combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    size = np.diff(offsets)
+    left, right = np.flatnonzero(me == lo), np.flatnonzero(me == hi)
+    found: list[tuple[int, int]] = []
+    if len(left) and len(right):
+        held = np.concatenate([values[offsets[j] : offsets[j + 1]] for j in right])
+        order = np.argsort(held, kind="stable")
+        held, owner = held[order], np.repeat(np.arange(len(right), dtype=np.int32), size[right])[order]
+        for i in left:
+            wanted = (label[right] != label[i]) & (size[right] >= similarity * size[i]) & (size[i] >= similarity * size[right])
+            if not wanted.any():
+                continue
+            mine = values[offsets[i] : offsets[i + 1]]
+            first, many = np.searchsorted(held, mine), np.searchsorted(held, mine, side="right")
+            many -= first
+            at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+            both = np.bincount(owner[at], minlength=len(right))
+            for j in right[wanted & (both >= similarity * (size[i] + size[right] - both))]:
+                if label[i] != label[j]:
+                    found.append((node[i], node[j]))
+                    label[label == label[j]] = label[i]
+    return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+
+def _finished(opened: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """All links that open buckets still need: exact, without rows for pairs."""
+    rows = _blocks(opened, sets).join(sets.select(F.col("rid").alias("node"), "shingles"), "node")
+    return rows.groupBy("band", "lo", "hi").applyInArrow(lambda t: _compared(t, similarity), "u long, v long")
+
+
 def near_duplicate_classes(df: DataFrame, *, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, weighting: str = "set") -> DataFrame:
     """A row per document row: id, h1 and h2 (hashes of its text), class_id (the least id in its class), class_rows (rows
     in the class) and first (whether this row is the one to keep: the least id, then the least rid)."""
@@ -139,16 +198,18 @@ def near_duplicate_classes(df: DataFrame, *, key: str = "doc_id", text: str = "t
         opened = materialize(_open_buckets(entries, labels), "open")
         if opened.isEmpty():
             break
-        found = materialize(_linked(_cell_pairs(opened, turn), sets, similarity), "links")
+        dealing = turn <= DEALS
+        found = materialize(_linked(_cell_pairs(opened, turn), sets, similarity) if dealing else _finished(opened, sets, similarity), "links")
         new = not found.isEmpty()
         if new:
             links = links.unionByName(found)
             last, labels = labels, materialize(connected_components(links), "labels")
             discard(last)
-        # buckets of one cell are done; larger ones are dealt again until a round links nothing more
-        entries = opened.where(F.col("k") > CELL).select("node", "band")
-        if not new:
+        if not dealing:
             break
+        # buckets of one cell are done; larger ones are dealt again, or finished as soon as a round links nothing more
+        entries = opened.where(F.col("k") > CELL).select("node", "band")
+        turn = turn if new else DEALS
     node = texts.join(labels, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("c"))
     rows = table.select("rid", "id", "h1", "h2").join(node, ["h1", "h2"], "left").select("rid", "id", "h1", "h2", F.coalesce("c", "rid").alias("c"))
     first = rows.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("rid").alias("rid"))).alias("f"), F.count("*").alias("class_rows"))

@@ -1,7 +1,8 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from spindrift.llm import near_duplicates as N
@@ -91,6 +92,52 @@ def test_groups_and_odd_rows(spark):
     assert sorted(map(tuple, N.keep_first(twice).collect()), key=repr) == [(1, "a b c"), (1, "d e"), (4, None), (4, None)]
 
 
+def linked_classes(texts):
+    """Classes of distinct texts, compared all with all."""
+    sets = [shingle_set(t) for t in texts]
+    many = Counter(g for s in sets for g in s)
+    place = {g: i for i, g in enumerate(g for g, n in many.items() if n > 1)}
+    has = np.zeros((len(texts), len(place)), dtype=np.float32)
+    for i, s in enumerate(sets):
+        has[i, [place[g] for g in s if g in place]] = 1
+    both, size = has @ has.T, np.array([len(s) for s in sets])
+    label = np.arange(len(texts))
+    for i, j in np.argwhere(both >= 0.8 * (size[:, None] + size[None, :] - both)):
+        label[label == max(label[i], label[j])] = min(label[i], label[j])
+    return [*enumerate(label.tolist())]
+
+
+def test_large_class_with_many_borderers_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 100)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(1500):
+        w = list(base)
+        for _ in range(1 if i < 300 else 6):  # the first ones are one class, which most others only border on
+            w[rng.randrange(200)] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(4)
+    want = linked_classes(texts)
+    assert 300 < len({c for _, c in want}) < 1200
+    assert classes(df) == sorted(want, key=repr)
+
+
+def test_large_group_with_few_links(spark):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for _ in range(1500):
+        w = list(base)
+        for i in rng.sample(range(200), 4):
+            w[i] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(4)
+    want = linked_classes(texts)
+    assert 20 < sum(i != c for i, c in want)
+    assert classes(df) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("texts", [[], [None], ["", ""], ["a b c d e f"]])
 def test_tiny_tables(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
