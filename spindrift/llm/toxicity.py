@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.training import Logistic, class_weights, labelled_sample
 
-PER_CLASS, MAX_ENTRIES = 2500, 20_000
+PER_CLASS, MAX_ENTRIES = 4000, 20_000
 #: A learned entry stands in so many toxic texts, and contexts there, at least, and has these log odds at least.
-MIN_CONTEXTS, MIN_LOG_ODDS, FULL_LOG_ODDS = 8, 3.0, 5.0
+MIN_CONTEXTS, MIN_LOG_ODDS, FULL_LOG_ODDS = 4, 3.0, 5.0
 STEM_CHARS, MIN_ENDINGS = (4, 5, 6, 7, 8), 4
 #: How many words a negation and a target reach.
 NEGATION_REACH, TARGET_REACH = 3, 4
@@ -210,8 +210,27 @@ def learn_lexicon(sample: list[tuple[str, int]]) -> tuple[dict[str, float], dict
     clean: Counter = Counter()
     for text, y in sample:
         (texts if y else clean).update(set(word.findall(text.lower())))
-    # only words of several toxic texts need their contexts told apart, which keeps the sets few
-    contexts: dict[str, set[int]] = {w: set() for w, n in texts.items() if n > 1 and len(w) > 1}
+    toxic, other = (max(sum(v == y for _, v in sample), 1) for y in (1, 0))
+
+    def weight(n: int, m: int) -> float:
+        odds = math.log((n + 0.5) / (toxic + 1)) - math.log((m + 0.5) / (other + 1))
+        return min(1.0, odds / FULL_LOG_ODDS) if n >= MIN_CONTEXTS and odds >= MIN_LOG_ODDS else 0.0
+
+    begins = lambda w: [w[:n] for n in STEM_CHARS if n < len(w)]
+    most, endings, clean_stems = Counter(), Counter(), Counter()
+    for w, n in texts.items():
+        if len(w) > 1:
+            for s in begins(w):
+                most[s] += n
+                endings[s] += 1
+    for w, n in clean.items():
+        for s in begins(w):
+            clean_stems[s] += n
+    # a word counts at most as often as it has texts: contexts are told apart only where that could give a word or stem a
+    # weight, which keeps the sets few and changes no result
+    able = {s for s, n in most.items() if endings[s] >= MIN_ENDINGS and weight(n, clean_stems[s])}
+    contexts: dict[str, set[int]] = {w: set() for w, n in texts.items() if n > 1 and len(w) > 1 and (weight(n, clean[w]) or not able.isdisjoint(begins(w)))}
+    del most, able
     for text, y in sample:
         if y:
             found = word.findall(text.lower())
@@ -220,23 +239,11 @@ def learn_lexicon(sample: list[tuple[str, int]]) -> tuple[dict[str, float], dict
                     held.add(hash((a, c)))
     seen = {w: len(contexts[w]) if w in contexts else n for w, n in texts.items() if len(w) > 1}
     del contexts
-    toxic, other = (max(sum(v == y for _, v in sample), 1) for y in (1, 0))
-
-    def weight(n: int, m: int) -> float:
-        odds = math.log((n + 0.5) / (toxic + 1)) - math.log((m + 0.5) / (other + 1))
-        return min(1.0, odds / FULL_LOG_ODDS) if n >= MIN_CONTEXTS and odds >= MIN_LOG_ODDS else 0.0
-
     words = {w: x for w, n in seen.items() if (x := weight(n, clean[w]))}
-    sizes, endings, clean_stems = Counter(), Counter(), Counter()
+    sizes: Counter = Counter()
     for w, c in seen.items():
-        for n in STEM_CHARS:
-            if n < len(w):
-                sizes[w[:n]] += c
-                endings[w[:n]] += 1
-    for w, n in clean.items():
-        for k in STEM_CHARS:
-            if k < len(w):
-                clean_stems[w[:k]] += n
+        for s in begins(w):
+            sizes[s] += c
     stems = {}
     for s, n in sizes.items():
         if endings[s] >= MIN_ENDINGS and (x := weight(n, clean_stems[s])):

@@ -1,5 +1,7 @@
 import zlib
 
+import pytest
+
 from spindrift.llm import op_toxicity
 from spindrift.llm import toxicity as X
 from spindrift.llm.training import remainder
@@ -37,6 +39,27 @@ def test_copies_teach_nothing():
     assert "bleh" in words and "zzzword" not in words
 
 
+def test_rare_insults_are_learned():
+    sample = [(f"a{chr(97 + i)} bleh b{chr(97 + i)}", 1) for i in range(5)] + [("other toxic text", 1)] * 95 + [("clean text here", 0)] * 900
+    words, _ = X.learn_lexicon(sample)
+    assert "bleh" in words
+
+
+def test_small_tables_teach_words(spark):
+    d = "/root/testdata/sf0.001"
+    documents, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    assert X.train(documents, labels, remainder("doc_id", 4) != 2).words
+
+
+@pytest.mark.parametrize(("sf", "recall"), [("sf0.001", 0.5), ("sf0.01", 0.9)])  # sf0.001 has two toxic labels held out
+def test_held_out_recall_on_small_tables(spark, sf, recall):
+    d = f"/root/testdata/{sf}"
+    rows = {r.doc_id: r for r in op_toxicity.query(spark, d).collect()}
+    held = [(rows[r.doc_id].predicted, r.toxic) for r in spark.read.parquet(f"{d}/labels.parquet").collect() if rows[r.doc_id].held_out]
+    toxic, clean = ([p for p, t in held if t == y] for y in (1, 0))
+    assert sum(toxic) >= recall * len(toxic) and sum(clean) <= 0.02 * len(clean)
+
+
 def test_odd_tables(spark):
     docs = spark.createDataFrame([(1, None, 0.5), (2, "", 0.1), (2, "you idiot", 0.2), (None, "x idiot " * 100_000, None)], "doc_id long, text string, score double")
     for rows in ([], [(1, 1), (2, 1)], [(1, 1), (2, 0), (2, 0)], [(1, None), (9, 0)]):
