@@ -70,10 +70,18 @@ class QualityModel:
         return self.calibrate(np.array([self.features(t) for t in texts]))
 
 
+def _parts(raws: list[bytes]) -> list[bytes]:
+    """Parts of all texts, ``PARTS`` a text on average at most: where there are more, the longest texts give fewer, evenly
+    spaced ones, but none fewer than ``PARTS`` of what it has."""
+    has, most = np.array([-(-len(r) // PART_BYTES) for r in raws], dtype=int), PARTS
+    while np.minimum(has, most + 1).sum() <= PARTS * len(raws) and most < has.max(initial=0):
+        most += 1
+    return [r[i * PART_BYTES : (i + 1) * PART_BYTES] for r, n in zip(raws, has.tolist(), strict=True) for i in (range(n) if n <= most else np.linspace(0, n - 1, most).astype(int).tolist())]
+
+
 def _dictionary(texts: list[str]) -> bytes:
     raws = [t.encode("utf-8", "surrogatepass") for t in texts]
-    parts = [r[i : i + PART_BYTES] for r in raws for i in range(0, len(r), PART_BYTES)][: PARTS * len(texts)]
-    parts = [p for p in parts if len(p) > 8]
+    parts = [p for p in _parts(raws) if len(p) > 8]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, parts, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself serves

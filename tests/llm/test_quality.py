@@ -24,3 +24,12 @@ def test_odd_tables(spark):
         assert len(got) == 4 and all(0 <= r.s <= 1 for r in got)
         assert got[1].s == got[2].s == got[0].s
     assert docs.limit(0).select(Q.quality_score(spark, model, docs.text)).count() == 0
+
+
+def test_every_sampled_text_gives_parts():
+    long = [bytes([65 + i]) * (10 * Q.PART_BYTES) for i in range(20)]
+    parts = Q._parts(long)
+    assert len(parts) == Q.PARTS * 20 and {p[0] for p in parts} == {r[0] for r in long}
+    short = [b"x" * 100, b"y" * (6 * Q.PART_BYTES)]
+    assert b"".join(Q._parts(short)) == b"".join(short)
+    assert Q._parts([]) == [] == Q._parts([b""])
