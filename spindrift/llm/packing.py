@@ -111,7 +111,7 @@ class DocumentPacker:
         if n % whole:
             self.pool.put(_piece_demand(n % whole), (document, n - n % whole, ids[4 * (n - n % whole) :]))
             if self.pool.full:
-                yield from self._emit(self._fill())
+                yield from self._closed(self._fill())
 
     def _fill(self) -> list:
         """The pieces of one sequence; the pool holds at least one item."""
@@ -126,27 +126,33 @@ class DocumentPacker:
             self.pool.put(_piece_demand(len(ids) // 4 - room), (document, start + room, ids[4 * room :]))
         return pieces
 
+    def _closed(self, pieces: list, last: bool = False) -> Iterator[tuple]:
+        """A filled sequence. The last one, and one that the limit of segments has closed early, is cut to powers of two,
+        which need no padding."""
+        total = sum(len(p[2]) // 4 for p in pieces)
+        if not last and (len(pieces) < self.limits.segments or self.limits.tokens - total < MIN_PIECE):
+            yield from self._emit(pieces)
+            return
+        pieces = list(pieces)
+        while total and total != self.limits.tokens:
+            size = 1 << (total.bit_length() - 1)
+            part, room = [], size
+            while room:
+                document, start, ids = pieces.pop(0)
+                if len(ids) // 4 > room:
+                    pieces.insert(0, (document, start + room, ids[4 * room :]))
+                    ids = ids[: 4 * room]
+                part.append((document, start, ids))
+                room -= len(ids) // 4
+            yield from self._emit(part)
+            total -= size
+        if pieces:
+            yield from self._emit(pieces)
+
     def finish(self) -> Iterator[tuple]:
         while not self.pool.empty:
             pieces = self._fill()
-            if self.pool.empty:  # the last one is cut to powers of two, which need no padding
-                pieces = list(pieces)
-                total = sum(len(p[2]) // 4 for p in pieces)
-                while total and total != self.limits.tokens:
-                    size = 1 << (total.bit_length() - 1)
-                    part, room = [], size
-                    while room:
-                        document, start, ids = pieces.pop(0)
-                        if len(ids) // 4 > room:
-                            pieces.insert(0, (document, start + room, ids[4 * room :]))
-                            ids = ids[: 4 * room]
-                        part.append((document, start, ids))
-                        room -= len(ids) // 4
-                    yield from self._emit(part)
-                    total -= size
-                if not pieces:
-                    return
-            yield from self._emit(pieces)
+            yield from self._closed(pieces, self.pool.empty)
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])

@@ -51,6 +51,12 @@ def test_documents(spark):
     assert check(op_packing.query(spark, d).collect(), texts) < 0.02
 
 
+def test_tiny_rows_need_little_padding(spark):
+    texts = {i: "a b" for i in range(5000)}
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string").coalesce(1)
+    assert check(packing.pack_documents(df, VOCABULARY).collect(), texts) < 0.02
+
+
 def test_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
     rows = packing.pack_documents(df, VOCABULARY).collect()
