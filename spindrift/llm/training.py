@@ -46,12 +46,26 @@ class Logistic:
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
         a = self._expand(x)
         self.w = np.zeros(a.shape[1])
-        for _ in range(40):
+
+        def loss(w: np.ndarray) -> float:
+            z = a @ w
+            return float((weight * (np.logaddexp(0, z) - y * z)).sum() + ridge / 2 * (w @ w))
+
+        now = loss(self.w)
+        for _ in range(100):
             p = self._squash(a @ self.w)
+            gradient = a.T @ (weight * (p - y)) + ridge * self.w
             h = (a * (weight * p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(self.w))
-            step = np.linalg.solve(h, a.T @ (weight * (y - p)) - ridge * self.w)
-            self.w += step
-            if np.abs(step).max() < 1e-8:
+            step = np.linalg.solve(h, gradient)
+            # the loss is convex: a full step may overshoot, a short enough one never does
+            size, slope = 1.0, float(gradient @ step)
+            while (after := loss(self.w - size * step)) > now - 1e-4 * size * slope and size > 1e-10:
+                size /= 2
+            if after >= now:
+                break
+            self.w -= size * step
+            done, now = now - after < 1e-10 * (1 + now), after
+            if done:
                 break
 
     @staticmethod
