@@ -4,8 +4,9 @@ A text that compresses better with the good dictionary than with the bad one res
 two sizes, normalised by their sum, and the sizes by the text's own, are calibrated to a probability on labelled texts that
 made neither dictionary. Texts are compressed whole, in blocks, so that a long one can't outgrow the dictionaries.
 
-Training uses at most ``PER_CLASS`` labelled texts of each class (see ``labelled_sample``); the model is two dictionaries
-of ``DICTIONARY_BYTES`` and a few weights, so its broadcast is bounded. Defined cases: null and empty texts score like
+Training uses at most ``PER_CLASS`` labelled texts of each class (see ``labelled_rows``): half of them give ``PARTS`` parts
+each to the dictionaries, the others are compressed whole, on the executors, to calibrate. The model is two dictionaries of
+``DICTIONARY_BYTES`` and a few weights, so its broadcast is bounded. Defined cases: null and empty texts score like
 an empty text; equal texts score equally; with no label of one class the score is the share of the other everywhere
 (0.5 with no labels); empty tables give no rows.
 """
@@ -21,7 +22,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.training import Logistic, class_weights, labelled_sample
+from spindrift.llm.storage import discard
+from spindrift.llm.training import Logistic, class_weights, labelled_rows, rows_of
 
 PER_CLASS = 3000
 DICTIONARY_BYTES = 64 << 10
@@ -70,18 +72,15 @@ class QualityModel:
         return self.calibrate(np.array([self.features(t) for t in texts]))
 
 
-def _parts(raws: list[bytes]) -> list[bytes]:
-    """Parts of all texts, ``PARTS`` a text on average at most: where there are more, the longest texts give fewer, evenly
-    spaced ones, but none fewer than ``PARTS`` of what it has."""
-    has, most = np.array([-(-len(r) // PART_BYTES) for r in raws], dtype=int), PARTS
-    while np.minimum(has, most + 1).sum() <= PARTS * len(raws) and most < has.max(initial=0):
-        most += 1
-    return [r[i * PART_BYTES : (i + 1) * PART_BYTES] for r, n in zip(raws, has.tolist(), strict=True) for i in (range(n) if n <= most else np.linspace(0, n - 1, most).astype(int).tolist())]
+def spaced(raw: bytes, most: int) -> list[bytes]:
+    """At most ``most`` parts of ``PART_BYTES``, evenly spaced."""
+    n = -(-len(raw) // PART_BYTES)
+    return [raw[i * PART_BYTES : (i + 1) * PART_BYTES] for i in (range(n) if n <= most else np.linspace(0, n - 1, most).astype(int).tolist())]
 
 
-def _dictionary(texts: list[str]) -> bytes:
-    raws = [t.encode("utf-8", "surrogatepass") for t in texts]
-    parts = [p for p in _parts(raws) if len(p) > 8]
+def _dictionary(parts: list[bytes]) -> bytes:
+    """A dictionary of the parts of texts: of each text some, so that all of them teach."""
+    parts = [p for p in parts if len(p) > 8]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, parts, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself serves
@@ -89,14 +88,34 @@ def _dictionary(texts: list[str]) -> bytes:
 
 
 def train(documents: DataFrame, labels: DataFrame, learn: Column, *, label: str = "quality", per_class: int = PER_CLASS, **names) -> QualityModel:
-    sample, counts = labelled_sample(documents, labels, label, learn, per_class, **names)
-    if {y for _, y in sample} != {0, 1}:
+    rows, counts = labelled_rows(documents, labels, label, learn, per_class, **names)
+    spark = documents.sparkSession
+
+    @F.pandas_udf("array<binary>")
+    def parts(texts: pd.Series) -> pd.Series:
+        return pd.Series([spaced(t.encode("utf-8", "surrogatepass"), PARTS) for t in texts])
+
+    # every second text of a class goes to its dictionary, the rest calibrates; the order is by id
+    keys = {y: [r.k for r in rows_of(rows.where(F.col("y") == y), "y")] for y in (0, 1)}
+    if not (keys[0] and keys[1]):
+        discard(rows)
         return QualityModel(b"", b"", None, counts.get(1, 0) / sum(counts.values()) if counts else 0.5)
-    by = {y: [t for t, v in sample if v == y] for y in (0, 1)}
-    model = QualityModel(_dictionary(by[1][::2]), _dictionary(by[0][::2]), None)
-    rest = [(t, y) for y in (0, 1) for t in (by[y][1::2] or by[y])]
-    y = np.array([v for _, v in rest])
-    model.calibrate = Logistic(np.array([model.features(t) for t, _ in rest]), y, class_weights(y, counts))
+    teaches = spark.createDataFrame([(k,) for y in (0, 1) for k in keys[y][::2]], rows.select("k").schema)
+    # at most per_class texts of PARTS parts each
+    found = rows_of(rows.join(F.broadcast(teaches), "k", "left_semi").select("k", "y", parts("t").alias("parts")), "y parts")
+    model = QualityModel(*(_dictionary([bytes(p) for r in found if r.y == y for p in r.parts]) for y in (1, 0)), None)
+    sent = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("array<double>")
+    def features(texts: pd.Series) -> pd.Series:
+        return pd.Series([sent.value.features(t) for t in texts])
+
+    lone = [keys[y][0] for y in (0, 1) if len(keys[y]) == 1]  # a class of one text has it for both
+    rest = rows.join(F.broadcast(teaches.where(~F.col("k").isin(lone))), "k", "left_anti")
+    found = rows_of(rest.select("k", "y", features("t").alias("x")), "y x")
+    discard(rows)
+    y = np.array([r.y for r in found])
+    model.calibrate = Logistic(np.array([r.x for r in found]), y, class_weights(y, counts))
     return model
 
 

@@ -4,31 +4,33 @@ Families are learned too: languages whose mean profiles of character n-grams are
 joined. Features are hashed byte n-grams of 1 to 3 letters, lower-cased, with word edges, as logarithms of counts of
 length 1. Whole texts are read, in blocks.
 
-Training uses at most ``PER_LANGUAGE`` texts of each language (see ``language_sample``) and at most ``MAX_LANGUAGES``
-languages; the model is one vector of ``DIMENSIONS`` for each family and for each pair in a family. Defined cases: null
-texts and texts without a letter are ``und`` with score 0; with one language learned it is always predicted; with none,
-``und``; repeated rows are judged each; empty tables give no rows.
+Training uses at most ``PER_LANGUAGE`` texts of each language, and fewer of each where there are so many languages that the
+sample would exceed ``SAMPLE_TEXTS`` (see ``language_sample``); no language is left out and no text is cut. Texts become
+vectors on the executors; only these are collected. The model is one vector of ``DIMENSIONS`` for each family and for each
+pair in a family. Defined cases: null texts and texts without a letter (Unicode category L) are ``und`` with score 0; with
+one language learned it is always predicted; with none, ``und``; repeated rows are judged each; empty tables give no rows.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spindrift.llm.training import slices
+from spindrift.llm.storage import discard, materialize
 
-PER_LANGUAGE, MAX_LANGUAGES = 600, 200
+#: Texts of a language, and of all languages together unless there are more languages than that.
+PER_LANGUAGE, SAMPLE_TEXTS = 600, 6000
 DIMENSIONS = 1 << 12
 BLOCK_BYTES = 1 << 18
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_LETTER = regex.compile(r"\p{L}")
+_NOT_LETTERS = regex.compile(r"\P{L}+")
 
 
 def counts(text: str) -> np.ndarray:
@@ -109,12 +111,12 @@ class LanguageModel:
         return self.languages[winner], float(sure)
 
 
-def fit(sample: list[tuple[str, str]]) -> LanguageModel:
-    """``sample``: texts with their languages."""
+def fit(sample: list[tuple[np.ndarray, str]]) -> LanguageModel:
+    """``sample``: vectors of texts with their languages."""
     languages = sorted({lang for _, lang in sample})
     if len(languages) < 2:
         return LanguageModel(languages, [[0]] if languages else [])
-    x = np.array([vector(t) for t, _ in sample], dtype=np.float32)
+    x = np.array([v for v, _ in sample], dtype=np.float32)
     of = np.array([languages.index(lang) for _, lang in sample])
     family = group_families(np.array([x[of == i].mean(axis=0) for i in range(len(languages))]))
     model = LanguageModel(languages, [[i for i, f in enumerate(family) if f == g] for g in sorted(set(family))])
@@ -127,16 +129,26 @@ def fit(sample: list[tuple[str, str]]) -> LanguageModel:
     return model
 
 
-def language_sample(documents: DataFrame, learn: Column, *, per_language: int = PER_LANGUAGE, key: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
-    """At most ``per_language`` texts of each language among rows where ``learn`` holds: those of smallest hash of the
-    id. A first pass counts the languages, so that the second keeps little more than the sample before it is ranked."""
-    rows = documents.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & learn)
-    sizes = rows.groupBy(F.col(lang).alias("_l")).agg(F.countDistinct(F.col(key)).alias("_n")).orderBy(F.desc("_n"), "_l").limit(MAX_LANGUAGES)
-    place = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    few = rows.select(F.col(key).alias("_k"), F.col(lang).alias("_l"), place.alias("_p"), slices(F.col(text)).alias("_t")).join(F.broadcast(sizes), "_l").where(F.col("_p") < 2.0 * per_language / F.col("_n") + 1e-9)
-    few = few.groupBy("_l", "_k", "_p").agg(F.min("_t").alias("_t"))
-    ranked = few.withColumn("_r", F.row_number().over(Window.partitionBy("_l").orderBy("_p", "_k"))).where(F.col("_r") <= per_language)
-    return sorted((r._t, r._l) for r in ranked.select("_t", "_l").collect())
+def language_sample(documents: DataFrame, learn: Column, *, per_language: int = PER_LANGUAGE, total: int = SAMPLE_TEXTS, key: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[np.ndarray, str]]:
+    """Vectors and languages of at most ``per_language`` texts of each language among rows where ``learn`` holds: those of
+    smallest hash of the id. With more than ``total / per_language`` languages each gets its share of ``total``, one text at
+    least. A first pass counts the languages, so that the second keeps little more than the sample before it is ranked."""
+    rows = documents.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & learn).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).cast("string").alias("t"))
+    sizes = materialize(rows.groupBy("l").agg(F.count("*").alias("n")), "languages")
+    each = max(1, min(per_language, total // max(sizes.count(), 1)))
+    place = F.pmod(F.xxhash64("k"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    few = rows.withColumn("p", place).join(F.broadcast(sizes), "l").where(F.col("p") < 4.0 * each / F.col("n") + 1e-9)
+    few = few.groupBy("l", "k", "p").agg(F.min("t").alias("t"))
+    ranked = materialize(few.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("p", "k"))).where(F.col("r") <= each).select("l", "k", "t"), "sample")
+
+    @F.pandas_udf("binary")
+    def vectors(texts: pd.Series) -> pd.Series:
+        return pd.Series([vector(t).astype(np.float16).tobytes() for t in texts])
+
+    found = ranked.select("l", "k", vectors("t").alias("v")).collect()  # ``total`` rows of 2 * DIMENSIONS bytes
+    discard(sizes)
+    discard(ranked)
+    return [(np.frombuffer(v, np.float16).astype(np.float32), lang) for lang, _, v in sorted((r.l, repr(r.k), bytes(r.v)) for r in found)]
 
 
 def predict_language(spark: SparkSession, model: LanguageModel, text: Column) -> Column:

@@ -1,48 +1,54 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words become symbols (insult, threat, target, negation, reporting verb, quotation mark, clause end, other). Four
-transducers read them one after another: reported speech marks what stands in quotation or after a reporting verb,
-negation marks the few words after a negation, target marks what is aimed at someone, and the scorer turns marked insults
-and targeted threats into weights. They are composed once into one machine. A clause scores the sum of its matches'
-weights; isolated words score nothing outside a clause's path.
-
-The insult lexicon (words, and stems with many endings) is learned from labelled texts by how often a word stands in
-different contexts of toxic and of other texts, so that copies of one text teach nothing by their number. The strongest
-clause and the sum over clauses are calibrated on the same bounded sample. Whole texts are scored.
-
-Training uses at most ``PER_CLASS`` labelled texts of each class; at most ``MAX_ENTRIES`` lexicon entries are kept, the
-heaviest first, so the broadcast is bounded. Defined cases: null and empty texts have no clause and score like any text
-without matches; equal texts score equally; with one class (or none) labelled the seed lexicon alone scores; empty tables
-give no rows; repeated rows are scored each.
+Words become symbols (insult, threat, target, copula, negation, reporting verb, quotation mark, clause end, other). Six
+transducers read them one after another: reported speech marks what stands in quotation or after a reporting verb, negation
+marks the few words after a negation, target marks what is aimed at someone, predicate marks what is said of someone after a
+copula, heaping marks an insult that follows another within a few clauses, and the scorer turns what is marked into weighted
+patterns. They are composed once into one machine. A word by itself, in whatever clause, matches no pattern: an insult counts
+when it is targeted, predicated or heaped on another, a threat when it is targeted. A text that holds one lexicon word, or
+some that stand far apart, scores like a text without any.
+
+All that is learned comes from labelled texts: the insult lexicon (words, and stems with many endings) by how often a word
+stands in different contexts of toxic and of other texts, so that copies of one text teach nothing by their number; the arc
+weights by how often a pattern matches in toxic and in other texts; and a calibration of the strongest clause and of the sum
+over clauses. Threats, targets, copulas, negations and reporting verbs are given word lists. Whole texts are learned from
+and scored.
+
+Training uses at most ``PER_CLASS`` labelled texts of each class, which stay on the executors; an entry needs ``MIN_CONTEXTS``
+contexts and ``MIN_LOG_ODDS``, so the lexicon is much smaller than the sample's vocabulary. Defined cases: null and empty
+texts have no clause and score like any text without matches; equal texts score equally; with one class (or none) labelled
+the given lists and weights alone score; empty tables give no rows; repeated rows are scored each.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.training import Logistic, class_weights, labelled_sample
+from spindrift.llm.storage import discard, materialize
+from spindrift.llm.training import Logistic, class_weights, labelled_rows, rows_of
 
-PER_CLASS, MAX_ENTRIES = 4000, 20_000
+PER_CLASS = 4000
 #: A learned entry stands in so many toxic texts, and contexts there, at least, and has these log odds at least.
 MIN_CONTEXTS, MIN_LOG_ODDS, FULL_LOG_ODDS = 4, 3.0, 5.0
 STEM_CHARS, MIN_ENDINGS = (4, 5, 6, 7, 8), 4
-#: How many words a negation and a target reach.
-NEGATION_REACH, TARGET_REACH = 3, 4
+#: How many words a negation, a target and a copula reach, and over how many ends of clauses an insult is heaped on another.
+NEGATION_REACH, TARGET_REACH, COPULA_REACH, HEAP_REACH = 3, 4, 3, 4
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, END, OTHER = range(8)
+INSULT, THREAT, TARGET, COPULA, NEGATION, REPORT, QUOTE, END, OTHER = range(9)
 SEEDS = {
     THREAT: "kill kills killing murder hurt stab shoot strangle destroy töten umbringen schlagen verprügeln tuer frapper détruire matar golpear destruir",
     TARGET: "you your yours yourself du dich dir dein deine euch tu te toi vous ton tú ti usted ustedes vosotros",
+    COPULA: "is are was were am be being bin bist ist sind seid war suis es est sommes êtes sont était soy eres son somos",
     NEGATION: "not no never neither nor nicht kein keine nie pas jamais aucun nunca jamás ningún",
     REPORT: "said says say wrote writes claimed claims quoted reported allegedly sagte sagt schrieb behauptet dit disait écrit affirme dijo dice escribió afirma",
     INSULT: "idiot moron scum",
@@ -93,23 +99,40 @@ def _within(opener: int, mark: str, reach: int) -> Transducer:
     return Transducer(step, reach + 1)
 
 
+def _heaping() -> Transducer:
+    """States count down the ends of clauses over which the last insult still reaches."""
+
+    def step(state: int, symbol: tuple) -> Arc:
+        if symbol[0] == INSULT:
+            return Arc(HEAP_REACH, (*symbol, "heaped") if state else symbol, 0)
+        return Arc(max(state - (symbol[0] == END), 0), symbol, 0)
+
+    return Transducer(step, HEAP_REACH + 1)
+
+
+#: Weights of patterns that no labelled text shows: insults by mark, threats, and a target shortly after a match.
+GIVEN = {"targeted insult": 1.0, "predicated insult": 0.7, "heaped insult": 0.7, "targeted threat": 1.0, "aimed": 0.5}
+#: What a negation or reported speech leaves of a weight.
+SOFTENED = {"negated": 0.6, "reported": 0.7}
+
+
 def _scorer() -> Transducer:
-    """States: 0 nothing yet, 1 an insult or threat shortly before (what a target after it turns on). Weights multiply the
-    matched word's own; a target after a match adds to it."""
+    """States: 0 nothing yet, 1 a pattern shortly before (what a target after it turns on). The output is the pattern and what
+    softens it; bare words have none."""
 
     def step(state: int, symbol: tuple) -> Arc:
         kind, *marks = symbol
         if kind == END:
             return Arc(0, (), 0)
         if kind == TARGET:
-            return Arc(0, ("aimed",) if state else (), 0.5 if state else 0)
+            return Arc(0, ("aimed",) if state else (), 0)
         if kind not in (INSULT, THREAT):
             return Arc(state, (), 0)
-        weight = 1.0 if kind == INSULT else 0.2
-        for mark, factor in (("targeted", 1.5 if kind == INSULT else 5.0), ("negated", 0.6), ("reported", 0.7)):
-            if mark in marks:
-                weight *= factor
-        return Arc(1, (kind, *marks), weight)
+        name = "insult" if kind == INSULT else "threat"
+        pattern = next((f"{m} {name}" for m in ("targeted", "predicated", "heaped") if m in marks and f"{m} {name}" in GIVEN), None)
+        if pattern is None:
+            return Arc(state, (), 0)
+        return Arc(1, (pattern, *(m for m in SOFTENED if m in marks)), 1)
 
     return Transducer(step, 2)
 
@@ -121,7 +144,7 @@ def compose(parts: list[Transducer]) -> list[list[tuple[int, float, tuple]]]:
     while waiting:
         joint = waiting.pop(0)
         row = []
-        for kind in range(8):
+        for kind in range(OTHER + 1):
             symbol: tuple = (kind,)
             after, weight = [], 0.0
             for part, state in zip(parts, joint, strict=True):
@@ -137,7 +160,7 @@ def compose(parts: list[Transducer]) -> list[list[tuple[int, float, tuple]]]:
     return table
 
 
-GRAMMAR = compose([_reporting(), _within(NEGATION, "negated", NEGATION_REACH), _within(TARGET, "targeted", TARGET_REACH), _scorer()])
+GRAMMAR = compose([_reporting(), _within(NEGATION, "negated", NEGATION_REACH), _within(TARGET, "targeted", TARGET_REACH), _within(COPULA, "predicated", COPULA_REACH), _heaping(), _scorer()])
 _MARKS = {m: (END, 0.0) for m in ".!?;\n"} | {m: (QUOTE, 0.0) for m in '"“”«»'}
 
 
@@ -159,13 +182,15 @@ class _Symbols(dict):
 class ToxicityModel:
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
+    patterns: dict[str, float] = field(default_factory=lambda: dict(GIVEN))
     calibrate: Logistic | None = None
 
     def __post_init__(self) -> None:
         self._symbols: _Symbols | None = None
+        self._machine: list | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_symbols": None}
+        return self.__dict__ | {"_symbols": None, "_machine": None}
 
     def symbols(self) -> _Symbols:
         if self._symbols is None:
@@ -173,16 +198,23 @@ class ToxicityModel:
             self._symbols = _Symbols(known | {w: (INSULT, x) for w, x in self.words.items()}, self.stems)
         return self._symbols
 
+    def machine(self) -> list[list[tuple[int, float, tuple]]]:
+        """The grammar with this model's arc weights."""
+        if self._machine is None:
+            weight = lambda out: self.patterns[out[0]] * math.prod(SOFTENED[m] for m in out[1:]) if out else 0.0
+            self._machine = [[(to, weight(out), out) for to, _, out in row] for row in GRAMMAR]
+        return self._machine
+
     def clauses(self, text: str | None) -> Iterator[tuple[float, list[tuple[str, tuple]]]]:
-        """Score and matches (word and what the grammar made of it) of each clause that has any."""
+        """Score and matches (word and pattern) of each clause that has any."""
         tokens = _TOKEN.findall((text or "").lower())
         symbols = [*map(self.symbols().__getitem__, tokens)]
         if not any(kind <= THREAT for kind, _ in symbols):
             return
-        state, score, matches, last = 0, 0.0, [], 1.0
+        machine, state, score, matches, last = self.machine(), 0, 0.0, [], 1.0
         for token, (kind, own) in zip(tokens, symbols, strict=True):
-            state, weight, output = GRAMMAR[state][kind]
-            if weight:
+            state, weight, output = machine[state][kind]
+            if output:
                 last = own if kind <= THREAT else last
                 score += weight * last
                 matches.append((token, output))
@@ -196,6 +228,10 @@ class ToxicityModel:
         scores = [s for s, _ in self.clauses(text)]
         return [min(max(scores, default=0.0), 2.0), math.log1p(sum(scores))]
 
+    def shown(self, text: str | None) -> list[str]:
+        """The patterns that match anywhere in a text."""
+        return sorted({output[0] for _, matches in self.clauses(text) for _, output in matches})
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
@@ -203,72 +239,83 @@ class ToxicityModel:
         return self.calibrate(x) if self.calibrate is not None else 1 - np.exp(-1.5 * x[:, 0])
 
 
-def learn_lexicon(sample: list[tuple[str, int]]) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems of insults with weights up to 1."""
-    word = re.compile(r"[^\W\d_]+")
-    texts: Counter = Counter()
-    clean: Counter = Counter()
-    for text, y in sample:
-        (texts if y else clean).update(set(word.findall(text.lower())))
-    toxic, other = (max(sum(v == y for _, v in sample), 1) for y in (1, 0))
-
-    def weight(n: int, m: int) -> float:
-        odds = math.log((n + 0.5) / (toxic + 1)) - math.log((m + 0.5) / (other + 1))
-        return min(1.0, odds / FULL_LOG_ODDS) if n >= MIN_CONTEXTS and odds >= MIN_LOG_ODDS else 0.0
-
-    begins = lambda w: [w[:n] for n in STEM_CHARS if n < len(w)]
-    most, endings, clean_stems = Counter(), Counter(), Counter()
-    for w, n in texts.items():
-        if len(w) > 1:
-            for s in begins(w):
-                most[s] += n
-                endings[s] += 1
-    for w, n in clean.items():
-        for s in begins(w):
-            clean_stems[s] += n
-    # a word counts at most as often as it has texts: contexts are told apart only where that could give a word or stem a
-    # weight, which keeps the sets few and changes no result
-    able = {s for s, n in most.items() if endings[s] >= MIN_ENDINGS and weight(n, clean_stems[s])}
-    contexts: dict[str, set[int]] = {w: set() for w, n in texts.items() if n > 1 and len(w) > 1 and (weight(n, clean[w]) or not able.isdisjoint(begins(w)))}
-    del most, able
-    for text, y in sample:
-        if y:
-            found = word.findall(text.lower())
-            for a, b, c in zip(["", *found], found, [*found[1:], ""], strict=False):
-                if (held := contexts.get(b)) is not None and len(held) < texts[b]:
-                    held.add(hash((a, c)))
-    seen = {w: len(contexts[w]) if w in contexts else n for w, n in texts.items() if len(w) > 1}
-    del contexts
-    words = {w: x for w, n in seen.items() if (x := weight(n, clean[w]))}
-    sizes: Counter = Counter()
-    for w, c in seen.items():
-        for s in begins(w):
-            sizes[s] += c
-    stems = {}
-    for s, n in sizes.items():
-        if endings[s] >= MIN_ENDINGS and (x := weight(n, clean_stems[s])):
-            # a stem that is nearly always continued in one way is left to the longer one
-            if not any(len(t) == len(s) + 1 and t.startswith(s) and sizes[t] >= 0.97 * n and endings[t] >= MIN_ENDINGS for t in _longer(s, sizes)):
-                stems[s] = x
-    heaviest = lambda d: dict(sorted(d.items(), key=lambda p: (-p[1], p[0]))[:MAX_ENTRIES])
-    return heaviest(words), heaviest(stems)
-
-
-def _longer(stem: str, sizes: Counter) -> list[str]:
-    if not hasattr(sizes, "by"):
-        sizes.by = defaultdict(list)
-        for s in [*sizes]:
-            sizes.by[s[:-1]].append(s)
-    return sizes.by.get(stem, [])
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _contexts(rows: DataFrame) -> DataFrame:
+    """Word, y, context (a number of the words before and after; null in texts that aren't toxic) and, of each text, 1 in one
+    of the word's rows."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = _WORD.findall(text.lower())
+                if y:
+                    held = sorted({(b, f"{a} {c}") for a, b, c in zip(["", *found], found, [*found[1:], ""], strict=False)})
+                    words, contexts = [w for w, _ in held], [c for _, c in held]
+                else:
+                    words = sorted(set(found))
+                    contexts = [None] * len(words)
+                first = [int(i == 0 or words[i - 1] != w) for i, w in enumerate(words)]
+                for at in range(0, len(words), 50_000):
+                    part = slice(at, at + 50_000)
+                    yield pa.RecordBatch.from_pydict({"word": words[part], "y": pa.array([y] * len(words[part]), pa.int32()), "context": pa.array(contexts[part], pa.string()), "texts": pa.array(first[part], pa.int64())})
+
+    return rows.select("t", "y").mapInArrow(made, "word string, y int, context string, texts long").select("word", "y", F.when(F.col("context").isNotNull(), F.xxhash64("context")).alias("context"), "texts")
+
+
+def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and stems of insults with weights up to 1, from labelled rows (columns t and y)."""
+    sizes = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}  # two rows
+    toxic, other = (max(sizes.get(y, 0), 1) for y in (1, 0))
+    by = _contexts(rows).groupBy("word", "y", "context").agg(F.sum("texts").alias("texts")).groupBy("word", "y").agg(F.sum("texts").alias("texts"), F.count("context").alias("contexts"))
+    one = lambda y, c: F.coalesce(F.sum(F.when(F.col("y") == y, F.col(c))), F.lit(0))
+    words = by.groupBy("word").agg(F.least(one(1, "texts"), one(1, "contexts")).alias("n"), one(0, "texts").alias("m"))
+    words = materialize(words, "words")
+
+    def weighed(table: DataFrame) -> DataFrame:
+        odds = F.log((F.col("n") + 0.5) / (toxic + 1)) - F.log((F.col("m") + 0.5) / (other + 1))
+        return table.withColumn("odds", odds).where((F.col("n") >= MIN_CONTEXTS) & (F.col("odds") >= MIN_LOG_ODDS))
+
+    own = {r.word: min(1.0, r.odds / FULL_LOG_ODDS) for r in weighed(words.where(F.length("word") > 1)).collect()}
+    begins = F.array(*(F.when(F.length("word") > n, F.substring("word", 1, n)) for n in STEM_CHARS))
+    stems = words.select(F.explode(F.array_compact(begins)).alias("stem"), "n", "m").groupBy("stem").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum((F.col("n") > 0).cast("int")).alias("endings"))
+    found = {r.stem: (r.n, min(1.0, r.odds / FULL_LOG_ODDS)) for r in weighed(stems.where(F.col("endings") >= MIN_ENDINGS)).collect()}
+    discard(words)
+    # a stem that is nearly always continued in one way is left to the longer one
+    longer: dict[str, int] = {}
+    for stem, (n, _) in found.items():
+        longer[stem[:-1]] = max(longer.get(stem[:-1], 0), n)
+    return own, {s: x for s, (n, x) in found.items() if longer.get(s, 0) < 0.97 * n}
 
 
 def train(documents: DataFrame, labels: DataFrame, learn: Column, *, label: str = "toxic", per_class: int = PER_CLASS, **names) -> ToxicityModel:
-    sample, counts = labelled_sample(documents, labels, label, learn, per_class, **names)
-    if {y for _, y in sample} != {0, 1}:
+    rows, counts = labelled_rows(documents, labels, label, learn, per_class, **names)
+    spark, present = documents.sparkSession, {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
+    if {*present} != {0, 1}:
+        discard(rows)
         return ToxicityModel()
-    model = ToxicityModel(*learn_lexicon(sample))
-    y = np.array([v for _, v in sample])
-    model.calibrate = Logistic(np.array([model.features(t) for t, _ in sample]), y, class_weights(y, counts), products=False, ridge=0.1)
+    model = ToxicityModel(*learn_lexicon(rows))
+    sent = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("array<string>")
+    def shown(texts: pd.Series) -> pd.Series:
+        return pd.Series([sent.value.shown(t) for t in texts])
+
+    for r in rows.select("y", F.explode(shown("t")).alias("pattern")).groupBy("pattern").agg(F.sum("y").alias("n"), F.sum(1 - F.col("y")).alias("m")).collect():
+        if r.n + r.m >= MIN_CONTEXTS:
+            odds = math.log((r.n + 0.5) / (present[1] + 1)) - math.log((r.m + 0.5) / (present[0] + 1))
+            model.patterns[r.pattern] = min(max(odds / FULL_LOG_ODDS, 0.0), 1.0)
+    sent = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("array<double>")
+    def features(texts: pd.Series) -> pd.Series:
+        return pd.Series([sent.value.features(t) for t in texts])
+
+    found = rows_of(rows.select("k", "y", features("t").alias("x")), "y x")
+    discard(rows)
+    y = np.array([r.y for r in found])
+    model.calibrate = Logistic(np.array([r.x for r in found]), y, class_weights(y, counts), products=False, ridge=0.1)
     return model
 
 

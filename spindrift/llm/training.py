@@ -6,36 +6,31 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A training text of more characters is represented by evenly spaced slices of it. (Scoring reads whole texts.)
-SAMPLE_CHARS, SLICES = 12_000, 6
-
+from spindrift.llm.storage import materialize
 
 def remainder(key: str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % mod
 
 
-def slices(text: Column) -> Column:
-    step = SAMPLE_CHARS // SLICES
-    parts = [F.substring(text, ((F.length(text) - step) * i / (SLICES - 1)).cast("int") + 1, F.lit(step)) for i in range(SLICES)]
-    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.concat_ws(" ", *parts))
-
-
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, *, key: str = "doc_id", text: str = "text") -> tuple[list[tuple[str, int]], dict[int, int]]:
-    """At most ``per_class`` labelled texts of each class 0 and 1, chosen by the hash of the id among rows where
-    ``learn`` holds, and how many such labels there are. Bounded: 2 * per_class texts of about ``SAMPLE_CHARS``."""
-    marked = labels.select(F.col(key).alias("_k"), F.col(label).alias("_y"), learn.alias("_learn")).where("_learn and _y in (0, 1) and _k is not null").groupBy("_k").agg(F.max("_y").alias("_y"))
-    counts = {r[0]: r[1] for r in marked.groupBy("_y").count().collect()}  # two rows
-    chosen = None
-    for y in counts:
-        part = marked.where(F.col("_y") == y).orderBy(F.xxhash64("_k"), "_k").limit(per_class)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    if chosen is None:
-        return [], {}
-    # the ids are at most 2 * per_class; an id that repeats in documents gives one text
-    texts = documents.select(F.col(key).alias("_k"), slices(F.coalesce(F.col(text), F.lit(""))).alias("_t")).join(F.broadcast(chosen), "_k").groupBy("_k", "_y").agg(F.min("_t").alias("_t"))
-    found = sorted((r._k, r._t, r._y) for r in texts.collect())
-    return [(t, y) for _, t, y in found], counts
+def labelled_rows(documents: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, *, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict[int, int]]:
+    """At most ``per_class`` labelled rows of each class 0 and 1, whole texts, chosen by the hash of the id among rows where
+    ``learn`` holds: columns k, t, y, written to the shared folder (``discard`` removes it). And how many such labels there
+    are. Only the number of rows is bounded; texts stay on the executors. Labels of other values or without id are left out;
+    an id labelled both 0 and 1 counts as 1; of an id that repeats in documents the least text is taken, a null text as empty."""
+    marked = labels.select(F.col(key).alias("k"), F.col(label).alias("y"), learn.alias("learn")).where("learn and y in (0, 1) and k is not null").groupBy("k").agg(F.max("y").cast("int").alias("y"))
+    counts = {r[0]: r[1] for r in marked.groupBy("y").count().collect()}  # two rows
+    chosen = labels.sparkSession.createDataFrame([], "k long, y int")
+    for i, y in enumerate(sorted(counts)):
+        part = marked.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(per_class)
+        chosen = chosen.unionByName(part) if i else part
+    texts = documents.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min("t").alias("t"))
+    return materialize(texts.select("k", "t", "y"), "labelled"), counts
+
+
+def rows_of(rows: DataFrame, columns: str) -> list:
+    """A bounded table's columns in the order of its keys ``k``."""
+    return sorted(rows.select("k", *columns.split()).collect(), key=lambda r: r.k)
 
 
 class Logistic:

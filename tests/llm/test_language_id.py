@@ -1,6 +1,7 @@
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from spindrift.llm import language_id as L
 from spindrift.llm import op_language_id
@@ -19,7 +20,7 @@ def test_held_out_accuracy(spark):
 
 def test_families_are_found():
     texts = {"en": "the cat and the dog with this thing that they then have", "nl": "de kat en de hond met dit ding dat zij dan hebben", "fr": "le chat et le chien avec cette chose que nous avons alors", "es": "el gato y el perro con esta cosa que nosotros tenemos entonces"}
-    model = L.fit([(t, k) for k, t in texts.items() for _ in range(3)])
+    model = L.fit([(L.vector(t), k) for k, t in texts.items() for _ in range(3)])
     assert sum(map(len, model.families)) == 4
     assert all(model.predict(t)[0] == k for k, t in texts.items())
 
@@ -35,3 +36,16 @@ def test_odd_tables(spark, langs):
     by = {r.doc_id: r.p.lang_pred for r in got}
     assert by[101] == by[102] == by[103] == "und" and (by[104] == "und") == (not langs)
     assert docs.limit(0).select(L.predict_language(spark, model, docs.text)).count() == 0
+
+
+def test_letters_are_those_of_category_l(spark):
+    model = L.fit([(L.vector(t), k) for k, t in (("en", "the cat and the dog"), ("de", "der hund und die katze")) for _ in range(3)])
+    assert [model.predict(t) for t in ("²½①Ⅷ", "_ 12 ٣", "\u0301")] == [("und", 0.0)] * 3
+    assert all(model.predict(t)[0] != "und" for t in ("² a", "ª", "語", "ʰ"))
+
+
+def test_many_languages_share_the_sample(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 30} of {i}", f"l{i % 30}") for i in range(600)], "doc_id long, text string, lang string")
+    found = L.language_sample(docs, F.lit(True), per_language=10, total=90)
+    assert len(found) == 90 and {k for _, k in found} == {f"l{i}" for i in range(30)}
+    assert {k for _, k in L.language_sample(docs, F.lit(True), per_language=10, total=9)} == {f"l{i}" for i in range(30)}

@@ -1,8 +1,10 @@
 import zlib
 
+import numpy as np
+
 from spindrift.llm import compression_quality as Q
 from spindrift.llm import op_quality
-from spindrift.llm.training import remainder
+from spindrift.llm.training import Logistic, remainder
 
 
 def test_held_out_accuracy(spark):
@@ -26,10 +28,19 @@ def test_odd_tables(spark):
     assert docs.limit(0).select(Q.quality_score(spark, model, docs.text)).count() == 0
 
 
-def test_every_sampled_text_gives_parts():
-    long = [bytes([65 + i]) * (10 * Q.PART_BYTES) for i in range(20)]
-    parts = Q._parts(long)
-    assert len(parts) == Q.PARTS * 20 and {p[0] for p in parts} == {r[0] for r in long}
-    short = [b"x" * 100, b"y" * (6 * Q.PART_BYTES)]
-    assert b"".join(Q._parts(short)) == b"".join(short)
-    assert Q._parts([]) == [] == Q._parts([b""])
+def test_parts_are_spaced_over_the_whole_text():
+    long = bytes(range(65, 75))
+    raw = b"".join(bytes([b]) * Q.PART_BYTES for b in long)
+    assert [p[0] for p in Q.spaced(raw, 4)] == [long[0], long[3], long[6], long[9]]
+    assert Q.spaced(b"x" * 100, 4) == [b"x" * 100] and Q.spaced(b"", 4) == []
+
+
+def test_calibrator_converges_where_full_steps_overshoot():
+    rng = np.random.default_rng(3)
+    for scale in (0.05, 1.0, 30.0):
+        x = rng.normal(size=(400, 4)) ** 3 * scale
+        y, weight = (x[:, 0] > 0).astype(int), rng.uniform(0.1, 5, 400)
+        model = Logistic(x, y, weight)
+        a = model._expand(x)
+        gradient = a.T @ (weight * (model(x) - y)) + 1e-2 * model.w
+        assert np.abs(gradient).max() < 1e-3 * np.abs(a.T @ (weight * (0.5 - y))).max()
