@@ -33,11 +33,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
+from spindrift.llm.dart_minhash import U, mix
 from spindrift.llm.storage import discard, materialize
 from spindrift.llm.training import Logistic, class_weights, labelled_rows, rows_of
 
 PER_CLASS = 4000
+#: Words whose symbols a worker remembers; rows of a result batch.
+KEPT_WORDS, BATCH_ROWS = 100_000, 16_384
 #: A learned entry stands in so many toxic texts, and contexts there, at least, and has these log odds at least.
 MIN_CONTEXTS, MIN_LOG_ODDS, FULL_LOG_ODDS = 4, 3.0, 5.0
 STEM_CHARS, MIN_ENDINGS = (4, 5, 6, 7, 8), 4
@@ -173,7 +177,7 @@ class _Symbols(dict):
 
     def __missing__(self, word: str) -> tuple[int, float]:
         found = next(((INSULT, self.stems[word[:n]]) for n in STEM_CHARS if n < len(word) and word[:n] in self.stems), (OTHER, 0.0))
-        if len(self) < 500_000:
+        if len(self) < KEPT_WORDS:
             self[word] = found
         return found
 
@@ -248,20 +252,24 @@ def _contexts(rows: DataFrame) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = _WORD.findall(text.lower())
-                if y:
-                    held = sorted({(b, f"{a} {c}") for a, b, c in zip(["", *found], found, [*found[1:], ""], strict=False)})
-                    words, contexts = [w for w, _ in held], [c for _, c in held]
-                else:
-                    words = sorted(set(found))
-                    contexts = [None] * len(words)
-                first = [int(i == 0 or words[i - 1] != w) for i, w in enumerate(words)]
-                for at in range(0, len(words), 50_000):
-                    part = slice(at, at + 50_000)
-                    yield pa.RecordBatch.from_pydict({"word": words[part], "y": pa.array([y] * len(words[part]), pa.int32()), "context": pa.array(contexts[part], pa.string()), "texts": pa.array(first[part], pa.int64())})
-
-    return rows.select("t", "y").mapInArrow(made, "word string, y int, context string, texts long").select("word", "y", F.when(F.col("context").isNotNull(), F.xxhash64("context")).alias("context"), "texts")
+            for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                found = _WORD.findall(text.as_py().lower())
+                words, which = [*dict.fromkeys(found)], None
+                context = pa.nulls(len(words), pa.int64())
+                if y and words:
+                    numbers = np.array([xxh3_64_intdigest(w) for w in words], dtype=U)
+                    place = {w: i for i, w in enumerate(words)}
+                    which = np.fromiter((place[w] for w in found), np.int64, len(found))
+                    around = np.concatenate([[U(0)], numbers[which], [U(0)]])
+                    pairs = np.unique(np.rec.fromarrays([which, mix(mix(around[:-2]) * U(31) + around[2:])], names="w,c"))
+                    which, context = pairs.w, pa.array(pairs.c.view(np.int64))
+                at = np.arange(len(words)) if which is None else which
+                first = np.diff(at, prepend=-1) != 0
+                for begun in range(0, len(at), BATCH_ROWS):
+                    part = slice(begun, begun + BATCH_ROWS)
+                    yield pa.RecordBatch.from_pydict({"word": [words[i] for i in at[part]], "y": pa.array(np.full(len(at[part]), y, np.int32)), "context": context[part], "texts": pa.array(first[part].astype(np.int64))})
+
+    return rows.select("t", "y").mapInArrow(made, "word string, y int, context long, texts long")
 
 
 def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
