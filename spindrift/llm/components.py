@@ -1,27 +1,38 @@
 """Connected components of a graph held in DataFrames, by alternating large-star and small-star contraction.
 
-Every step is a minimum per node and an equi-join; nothing is collected but whether a step has reached
-stars. The edges of each step are written to the shared folder, which cuts the lineage.
+Every step is a minimum per node, written first, and a plain equi-join with it, in which Spark can split a node of very many
+edges; nothing is collected but whether a step has reached stars. The edges of each step are written to the shared folder, which cuts the lineage.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm.storage import discard, materialize
 
 
+def _joined_least(edges: DataFrame, least: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``step`` over the edges with each one's least neighbour of u, m; all written."""
+    least = materialize(least, "least")
+    after = materialize(step(edges.join(least, "u")), "edges")
+    discard(least)
+    return after
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return _joined_least(both, least, lambda x: x.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
+    # the edge to the least neighbour stays, the others are led there
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    moved = F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u"))
+    return _joined_least(edges, least, lambda x: x.select(moved.alias("u"), F.col("m").alias("v")).distinct())
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -37,9 +48,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     repeated edges do no harm; without edges the result is empty."""
     now = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     while True:
-        after = materialize(_small_star(_large_star(now)), "edges")
+        large = _large_star(now)
         discard(now)
-        now = after
+        now = _small_star(large)
+        discard(large)
         if _stars(now):
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

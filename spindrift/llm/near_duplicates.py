@@ -5,14 +5,15 @@ Two texts are near duplicates if the Jaccard similarity of their sets of five-wo
 probability 0.99998, and more above. What shares a band is only compared, never taken as alike.
 
 Exact copies share one node from the start. A bucket (a band's key) never expands to all its pairs. First each node is
-compared with a few leaders of its buckets, which joins large groups at once. Then buckets that still hold more than one
-component are dealt into cells, and nodes of different components in a cell are compared: a bucket of at most ``CELL`` nodes
-is one cell and so done completely, a larger one is dealt again, otherwise, for a few rounds. At last the buckets that are
-still open are finished exactly: they are cut into blocks, and each pair of blocks is a task's group of bounded size in which
-all nodes of different components are compared. Only pairs inside a bucket's largest component are left out.
-The work of a round is linear in bucket entries, and hot buckets (a third of all rows in one group) meet only
-pre-aggregation and joins that Spark can split; the last pass grows with the product of what is not linked in a bucket and
-its size, spread over groups.
+compared with a few leaders of its buckets, which joins large groups at once. Buckets that then still hold more than one
+component are finished exactly: in those of at most ``SMALL`` nodes all nodes of different components are compared; larger
+ones are cut into blocks, and each pair of blocks is a group of bounded size in which all nodes of different components are
+compared. Only pairs inside a bucket's largest component are left out, and pairs whose numbers of shingles alone rule the
+similarity out. So every pair that shares a band is compared unless it is linked already, and no pairs come out of a block.
+
+What a bucket is asked for (its size, leaders, components) is aggregated first and written, so that the joins with it are
+plain ones: Spark broadcasts a small side and splits a hot bucket or class otherwise. The first steps are linear in bucket
+entries; the last grows with the product of what is not linked in a bucket and its size, spread over groups.
 
 Defined cases: a null text is a class of its own; texts without words (also empty ones) are alike only if equal; shorter
 texts than a shingle are one shingle; repeated rows are copies of each other; an empty table gives no rows; the input's
@@ -21,13 +22,12 @@ other columns are not read.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm.components import connected_components
@@ -36,10 +36,8 @@ from spindrift.llm.storage import discard, materialize
 
 SIMILARITY = 0.8
 BANDS, ROWS = 35, 6
-#: Buckets up to this many nodes are compared completely; larger ones are dealt into cells of about ``DEAL`` nodes.
-CELL, DEAL = 8, 4
-#: Rounds of dealing before the buckets still open are finished exactly.
-DEALS = 2
+#: Buckets up to this many nodes are compared by a join; larger ones in blocks.
+SMALL = 8
 #: A block of an open bucket has about so many nodes, and so many shingles, at most.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 #: Orders in which buckets choose a leader in the first round.
@@ -90,30 +88,40 @@ def signed(df: DataFrame, *, key: str = "doc_id", text: str = "text", weighting:
     return df.select(F.col(key).cast("long"), string, h1, h2).mapInArrow(made, "rid long, id long, h1 long, h2 long, bands array<long>, shingles array<int>")
 
 
-def _leader_pairs(entries: DataFrame) -> DataFrame:
-    """For each node, and each of a few orders, the leader of one of its buckets that shares most buckets with it: pairs
-    a, b."""
-    order = [F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"l{i}") for i in range(ORDERS)]
-    leaders = entries.groupBy("band").agg(*order)
-    led = entries.join(leaders, "band").select(F.col("node").alias("b"), F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"l{i}").alias("a")) for i in range(ORDERS)))).alias("x")).select("b", "x.i", "x.a").where("a <> b")
-    shared = led.groupBy("b", "i", "a").agg(F.count("*").alias("shared"))
-    return shared.groupBy("b", "i").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b").distinct()
-
+def _near(na: Column, nb: Column, similarity: float) -> Column:
+    """Whether sets of so many shingles can be that similar."""
+    return F.least(na, nb) >= similarity * F.greatest(na, nb)
 
-def _open_buckets(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Entries of buckets that hold more than one component, with the component and the bucket's size."""
-    known = entries.withColumn("component", F.col("node")) if labels is None else entries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = known.groupBy("band").agg(F.count("*").alias("k"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("band", "k")
-    return known.join(sizes, "band").select("band", "node", "component", "k")
 
-
-def _cell_pairs(opened: DataFrame, turn: int) -> DataFrame:
-    """Pairs of different components in the same cell. A bucket of at most ``CELL`` nodes is one cell, so all of its pairs are
-    there; a larger one is dealt, anew in each round, into cells of about ``DEAL``, which keeps the pairs linear."""
-    cell = F.pmod(F.xxhash64("node", "band", F.lit(turn)), F.ceil(F.col("k") / DEAL).cast("long"))
-    dealt = opened.select("band", "node", "component", F.when(F.col("k") <= CELL, F.lit(0)).otherwise(cell).cast("long").alias("cell"))
-    left, right = dealt.select("band", "cell", F.col("node").alias("a"), F.col("component").alias("ca")), dealt.select("band", "cell", F.col("node").alias("b"), F.col("component").alias("cb"))
-    return left.join(right, ["band", "cell"]).where("ca < cb").select("a", "b").distinct()
+def _leader_pairs(entries: DataFrame, similarity: float) -> DataFrame:
+    """For each node, and each of a few orders, the leader of one of its buckets that shares most buckets with it: pairs
+    a, b."""
+    order = [F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(i))).alias(f"l{i}") for i in range(ORDERS)]
+    leaders = materialize(entries.groupBy("band").agg(*order), "leaders")
+    led = entries.join(leaders, "band").select(F.col("node").alias("b"), "n", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"l{i}.node").alias("a"), F.col(f"l{i}.n").alias("na")) for i in range(ORDERS)))).alias("x"))
+    led = led.where((F.col("x.a") != F.col("b")) & _near(F.col("x.na"), F.col("n"), similarity))
+    shared = led.groupBy("b", "x.i", "x.a").agg(F.count("*").alias("shared"))
+    pairs = shared.groupBy("b", "i").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b").distinct()
+    pairs = materialize(pairs, "pairs")
+    discard(leaders)
+    return pairs
+
+
+def _open_buckets(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries of buckets that hold more than one component, with the component."""
+    known = materialize(entries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "known")
+    several = materialize(known.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("band"), "several")
+    opened = materialize(known.join(several, "band", "left_semi"), "open")
+    discard(known)
+    discard(several)
+    return opened
+
+
+def _small_pairs(opened: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of different components in small buckets."""
+    few = opened.where(F.col("k") <= SMALL)
+    left, right = few.select("band", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na")), few.select("band", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
+    return left.join(right, "band").where((F.col("ca") < F.col("cb")) & _near(F.col("na"), F.col("nb"), similarity)).select("a", "b").distinct()
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -124,16 +132,15 @@ def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return joined.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), both.alias("both")).where(F.col("both") >= similarity * (F.col("na") + F.col("nb") - F.col("both"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _blocks(opened: DataFrame, sets: DataFrame) -> DataFrame:
+def _blocks(opened: DataFrame) -> DataFrame:
     """Rows band, lo, hi, me, node, component: every two nodes of different components in a bucket meet in a group (band, lo,
     hi). A bucket's largest component has blocks of its own, numbered after the others', which never meet each other."""
-    known = opened.join(sets.select(F.col("rid").alias("node"), F.size("shingles").cast("long").alias("n")), "node")
-    parts = known.groupBy("band", "component").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    parts = opened.groupBy("band", "component").agg(F.count("*").alias("k"), F.sum(F.col("n").cast("long")).alias("n"))
     largest = F.struct("k", "component")
     buckets = parts.groupBy("band").agg(F.max_by("component", largest).alias("major"), F.max_by("k", largest).alias("mk"), F.max_by("n", largest).alias("mn"), F.sum("k").alias("k"), F.sum("n").alias("n"))
     many = lambda k, n: F.ceil(F.greatest(k / BLOCK, n / BLOCK_SHINGLES)).cast("int")
     buckets = buckets.select("band", "major", many(F.col("k") - F.col("mk"), F.col("n") - F.col("mn")).alias("minors"), many(F.col("mk"), F.col("mn")).alias("majors"))
-    held, mix = opened.join(buckets, "band"), F.xxhash64("node", F.lit(0))
+    held, mix = opened.drop("n", "k").join(materialize(buckets, "buckets"), "band"), F.xxhash64("node", F.lit(0))
     major = F.col("component") == F.col("major")
     me = F.when(major, F.col("minors") + F.pmod(mix, "majors")).otherwise(F.pmod(mix, "minors")).cast("int")
     met = F.sequence(F.lit(0), F.when(major, F.col("minors")).otherwise(F.col("minors") + F.col("majors")) - 1)
@@ -172,7 +179,7 @@ def _compared(table: pa.Table, similarity: float) -> pa.Table:
 
 def _finished(opened: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """All links that open buckets still need: exact, without rows for pairs."""
-    rows = _blocks(opened, sets).join(sets.select(F.col("rid").alias("node"), "shingles"), "node")
+    rows = _blocks(opened).join(sets.select(F.col("rid").alias("node"), "shingles"), "node")
     return rows.groupBy("band", "lo", "hi").applyInArrow(lambda t: _compared(t, similarity), "u long, v long")
 
 
@@ -182,44 +189,37 @@ def near_duplicate_classes(df: DataFrame, *, key: str = "doc_id", text: str = "t
     table = materialize(signed(df, key=key, text=text, weighting=weighting), "signed")
     texts = table.where("h1 is not null").groupBy("h1", "h2").agg(F.min(F.when(F.col("bands").isNotNull(), F.col("rid"))).alias("node"), F.min("rid").alias("least_rid"))
     texts = materialize(texts.select("h1", "h2", F.coalesce("node", "least_rid").alias("node")), "texts")
-    banded = table.where("bands is not null").select("rid", "bands").join(texts, F.col("rid") == F.col("node"), "left_semi")
-    entries = banded.select(F.col("rid").alias("node"), F.explode("bands").alias("band"))
+    banded = table.where("bands is not null").select("rid", F.size("shingles").alias("n"), "bands").join(texts, F.col("rid") == F.col("node"), "left_semi")
+    entries = banded.select(F.col("rid").alias("node"), "n", F.explode("bands").alias("band"))
     # buckets of one text need no further look
-    shared = entries.groupBy("band").agg(F.count("*").alias("k")).where("k > 1").select("band")
-    entries = materialize(entries.join(shared, "band", "left_semi"), "entries")
+    shared = materialize(entries.groupBy("band").agg(F.count("*").alias("k")).where("k > 1"), "shared")
+    entries = materialize(entries.join(shared, "band"), "entries")
+    discard(shared)
     # from here on only the shingles of texts that share a bucket are read
     nodes = entries.select(F.col("node").alias("rid")).distinct()
     sets = materialize(table.where("shingles is not null").select("rid", "shingles").join(nodes, "rid", "left_semi"), "sets")
 
-    links = materialize(_linked(_leader_pairs(entries), sets, similarity), "links")
-    labels, turn = materialize(connected_components(links), "labels"), 0
-    while True:
-        turn += 1
-        opened = materialize(_open_buckets(entries, labels), "open")
-        if opened.isEmpty():
-            break
-        dealing = turn <= DEALS
-        found = materialize(_linked(_cell_pairs(opened, turn), sets, similarity) if dealing else _finished(opened, sets, similarity), "links")
-        new = not found.isEmpty()
-        if new:
-            links = links.unionByName(found)
-            last, labels = labels, materialize(connected_components(links), "labels")
-            discard(last)
-        if not dealing:
-            break
-        # buckets of one cell are done; larger ones are dealt again, or finished as soon as a round links nothing more
-        entries = opened.where(F.col("k") > CELL).select("node", "band")
-        turn = turn if new else DEALS
+    pairs = _leader_pairs(entries, similarity)
+    links = materialize(_linked(pairs, sets, similarity), "links")
+    labels = materialize(connected_components(links), "labels")
+    opened = _open_buckets(entries, labels)
+    more = materialize(_linked(_small_pairs(opened, similarity), sets, similarity), "links")
+    links, used = links.unionByName(more), [table, texts, sets, entries, pairs, links, labels, more, opened]
+    if not (large := opened.where(F.col("k") > SMALL)).isEmpty():
+        if not more.isEmpty():
+            labels = materialize(connected_components(links), "labels")
+            used.append(labels)
+        large = _open_buckets(large.select("node", "n", "band", "k"), labels)
+        most = materialize(_finished(large, sets, similarity), "links")
+        links = links.unionByName(most)
+        used += [large, most]
+    labels = materialize(connected_components(links), "labels")
     node = texts.join(labels, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("c"))
-    rows = table.select("rid", "id", "h1", "h2").join(node, ["h1", "h2"], "left").select("rid", "id", "h1", "h2", F.coalesce("c", "rid").alias("c"))
-    first = rows.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("rid").alias("rid"))).alias("f"), F.count("*").alias("class_rows"))
-    result = rows.join(first, "c").select("id", "h1", "h2", F.col("f.id").alias("class_id"), "class_rows", (F.col("rid") == F.col("f.rid")).alias("first"))
-    result = materialize(result, "classes")
-    for used in (table, texts, sets, labels):
-        discard(used)
-    del table, texts, banded, entries, shared, nodes, sets, labels, links, opened, node, rows, first
-    gc.collect()  # lets Spark remove the shuffles of what is gone
-    df.sparkSession.sparkContext._jvm.System.gc()
+    rows = materialize(table.select("rid", "id", "h1", "h2").join(node, ["h1", "h2"], "left").select("rid", "id", "h1", "h2", F.coalesce("c", "rid").alias("c")), "rows")
+    first = materialize(rows.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("rid").alias("rid"))).alias("f"), F.count("*").alias("class_rows")), "first")
+    result = materialize(rows.join(first, "c").select("id", "h1", "h2", F.col("f.id").alias("class_id"), "class_rows", (F.col("rid") == F.col("f.rid")).alias("first")), "classes")
+    for written in [*used, labels, rows, first]:
+        discard(written)
     return result
 
 
