@@ -1,8 +1,9 @@
 """Benchmark decontamination: the windows of test items as a hash set, looked up for every token window of the corpus.
 
-DataFrame operations only. A document's windows are hashed in place against a small bit table made from the items'
-windows (a literal of the plan, so every task has it once); the few that pass are compared word by word in an equi-join
-with the windows themselves, which verifies them. Only verified windows and one row per document are shuffled.
+DataFrame operations only. A document's windows are hashed where they stand against a bit table made from the items' windows
+(a literal of the plan, of bounded size, so every task has it once); the few that pass are compared word by word in an
+equi-join with the windows themselves, which verifies them. Only verified windows and one row per document are shuffled. The
+windows of a document are rows of a generated sequence that never leave their stage, so that the test on them is compiled.
 
 Words are ``WORD`` after A-Z are lower-cased. A window is ``n`` consecutive words of an item; an item of fewer words, but
 not none, is one window. Defined cases: a null or empty text has no words, no hit and no items; a null item id never
@@ -12,14 +13,21 @@ empty benchmark nothing is hit; no columns but those named are read.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm.storage import materialize
+
 WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
-#: Up to so many windows the bit table is made, with this many bits for each; beyond, every window goes to the join.
-MAX_TABLE_WINDOWS, BITS_PER_WINDOW = 1 << 17, 32
+#: Bits of the table for each window, and in all; with more windows than fit, more of a document's go to the join.
+BITS_PER_WINDOW, MAX_TABLE_BITS = 32, 1 << 25
 #: Up to this many bytes the windows themselves are broadcast; beyond, Spark chooses the join.
 MAX_BROADCAST_BYTES = 64 << 20
+#: Up to so many contaminated documents (16 bytes each) are broadcast to remove them; beyond, Spark chooses the join.
+MAX_BROADCAST_ROWS = 2_000_000
 
 
 def lower_ascii(text: Column) -> Column:
@@ -28,7 +36,8 @@ def lower_ascii(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(lower_ascii(text.cast("string")), F.lit(WORD), 1), F.array().cast("array<string>"))
+    between = WORD.replace("([^", "[").replace("+)", "+")  # splitting there is faster than finding the words themselves
+    return F.coalesce(F.array_remove(F.split(lower_ascii(text.cast("string")), between), ""), F.array().cast("array<string>"))
 
 
 def item_windows(benchmark: DataFrame, n: int, *, item: str = "item_id", text: str = "text") -> DataFrame:
@@ -47,26 +56,22 @@ def _passes(table: Column, bits: int, h: Column) -> Column:
     return on(h.bitwiseAND(F.lit(bits - 1))) & on(F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1)))
 
 
-def _table(grams: DataFrame, count: int) -> tuple[Column, int] | None:
-    """The bit table of at most ``MAX_TABLE_WINDOWS`` windows, as a literal array of longs."""
-    if count > MAX_TABLE_WINDOWS:
-        return None
-    bits = 1 << max(10, (count * BITS_PER_WINDOW - 1).bit_length())
-    longs = [0] * (bits // 64)
-    for (h,) in grams.select(F.xxhash64("gram")).collect():
-        for place in (h & (bits - 1), ((h % (1 << 64)) >> 32) & (bits - 1)):
-            longs[place >> 6] |= 1 << (place & 63)
-    text = ",".join(str(x - (1 << 64) if x >> 63 else x) for x in longs)
-    return F.expr(f"cast(split('{text}', ',') as array<bigint>)"), bits
+def _hash(w: Column, start: Column, k: int) -> Column:
+    """Of the k words of w from ``start`` (from 0)."""
+    return F.xxhash64(*(w[start + j] for j in range(k)))
 
 
-def _candidates(k: int, table: tuple[Column, int] | None) -> Column:
-    """The windows of k words of array w that the table lets pass: start (from 0) and words."""
-    starts = F.when(F.size("w") >= k, F.sequence(F.lit(0), F.size("w") - k)).otherwise(F.array().cast("array<int>"))
-    if table is not None:
-        hashes = F.transform(starts, lambda i: F.xxhash64(F.slice("w", i + 1, k)))
-        starts = F.filter(F.transform(hashes, lambda h, i: F.when(_passes(*table, h), i)), lambda i: i.isNotNull())
-    return F.transform(starts, lambda i: F.struct(i.alias("s"), F.slice("w", i + 1, k).alias("gram")))
+def _table(grams: DataFrame, lengths: list[int], count: int) -> tuple[Column, int]:
+    """The windows' bit table, as a literal array of longs. The words of the table, at most ``MAX_TABLE_BITS`` / 64, are made
+    in an aggregate."""
+    bits = 1 << min(max(10, (count * BITS_PER_WINDOW - 1).bit_length()), MAX_TABLE_BITS.bit_length() - 1)
+    h = F.coalesce(*(F.when(F.size("gram") == k, _hash(F.col("gram"), F.lit(0), k)) for k in lengths))
+    places = grams.select(h.alias("h")).select(F.explode(F.array(F.col("h").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(bits - 1)))).alias("place"))
+    words = places.groupBy(F.shiftright("place", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("x")).collect()
+    longs = [0] * (bits // 64)
+    for i, x in words:
+        longs[i] = x
+    return F.expr(f"cast(split('{','.join(map(str, longs))}', ',') as array<bigint>)"), bits
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, *, n: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -75,13 +80,19 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, *, n: int = 10, key:
     grams = item_windows(benchmark, n, item=item, text=item_text)
     lengths = {r[0]: (r[1], r[2]) for r in grams.groupBy(F.size("gram").alias("n")).agg(F.count("*"), F.sum(F.octet_length(F.array_join("gram", " ")))).collect()}  # at most n rows
     count, size = (sum(x[i] for x in lengths.values()) for i in (0, 1))
-    table = _table(grams, count)
 
-    listed = documents.select(F.col(key).alias("_key"), F.xxhash64(F.col(text).cast("string")).alias("_hash"), F.octet_length(F.col(text).cast("string")).alias("_bytes"), words(F.col(text)).alias("w"))
-    found = [F.array(F.struct(F.lit(-1).alias("s"), F.lit(None).cast("array<string>").alias("gram")))]
-    for k in sorted(lengths):
-        found.append(_candidates(k, table))
-    windows = listed.select("_key", "_hash", "_bytes", F.size("w").alias("n_words"), F.explode(F.concat(*found)).alias("x")).select("_key", "_hash", "_bytes", "n_words", "x.s", "x.gram")
+    string = F.col(text).cast("string")
+    listed = documents.select(F.col(key).alias("_key"), F.xxhash64(string).alias("_hash"), F.octet_length(string).alias("_bytes"), words(F.col(text)).alias("w"))
+    # a row with s = -1 stands for the document itself
+    starts = listed.select("_key", "_hash", "_bytes", "w", F.size("w").alias("n_words"), F.explode(F.sequence(F.lit(-1), F.size("w") - 1)).alias("s"))
+    windows = starts.where("s < 0").select("_key", "_hash", "_bytes", "n_words", "s", F.lit(None).cast("array<string>").alias("gram"))
+    if lengths:
+        table = _table(grams, sorted(lengths), count)
+        passes = {k: (F.col("s") >= 0) & (F.col("s") + k <= F.col("n_words")) & _passes(*table, _hash(F.col("w"), F.col("s"), k)) for k in sorted(lengths)}
+        gram = [F.when(p, F.slice("w", F.col("s") + 1, k)) for k, p in passes.items()]
+        own = F.when(F.col("s") < 0, F.array(F.lit(None).cast("array<string>")))
+        kept = starts.where(reduce(or_, passes.values(), F.col("s") < 0))
+        windows = kept.select("_key", "_hash", "_bytes", "n_words", "s", F.explode(F.coalesce(own, F.array_compact(F.array(*gram)))).alias("gram"))
     joined = windows.join(F.broadcast(grams) if size <= MAX_BROADCAST_BYTES else grams, "gram", "left").where((F.col("s") < 0) | F.col("items").isNotNull())
 
     span = F.when(F.col("s") >= 0, F.struct(F.col("s"), (F.col("s") + F.size("gram")).alias("e")))
@@ -101,8 +112,12 @@ def leak_report(documents: DataFrame, benchmark: DataFrame, *, key: str = "doc_i
 
 
 def remove_documents(documents: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``documents`` without those that hold a window of the benchmark; all columns stay."""
+    """``documents`` without those that hold a window of the benchmark; all columns stay. Texts are not shuffled unless there
+    are more than ``MAX_BROADCAST_ROWS`` of those."""
     bad = find_leaks(documents, benchmark, key=key, text=text, **options).where("n_hit > 0").select(F.col(key).alias("_bad_key"), F.col("text_hash").alias("_bad_hash")).distinct()
+    bad = materialize(bad, "contaminated")
+    if bad.count() <= MAX_BROADCAST_ROWS:
+        bad = F.broadcast(bad)
     return documents.join(bad, F.col(key).eqNullSafe(F.col("_bad_key")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_bad_hash")), "left_anti")
 
 
