@@ -1,9 +1,10 @@
 """Benchmark decontamination: the windows of test items as a hash set, looked up for every token window of the corpus.
 
-DataFrame operations only. A document's windows are hashed where they stand against a bit table made from the items' windows
-(a literal of the plan, of bounded size, so every task has it once); the few that pass are compared word by word in an
-equi-join with the windows themselves, which verifies them. Only verified windows and one row per document are shuffled. The
-windows of a document are rows of a generated sequence that never leave their stage, so that the test on them is compiled.
+DataFrame operations only. The windows of a document are rows of a generated sequence that never leave their stage: each is
+hashed where it stands and looked up in the broadcast hash table of the items' windows, in compiled code; hits are verified
+word by word. Only verified windows and one row per document are shuffled. Where the items' windows are more than
+``MAX_BROADCAST_BYTES``, a bit table of them (a literal of the plan, of bounded size) leaves few windows, and these are joined
+with the items' in whatever way Spark chooses.
 
 Words are ``WORD`` after A-Z are lower-cased. A window is ``n`` consecutive words of an item; an item of fewer words, but
 not none, is one window. Defined cases: a null or empty text has no words, no hit and no items; a null item id never
@@ -61,12 +62,16 @@ def _hash(w: Column, start: Column, k: int) -> Column:
     return F.xxhash64(*(w[start + j] for j in range(k)))
 
 
-def _table(grams: DataFrame, lengths: list[int], count: int) -> tuple[Column, int]:
+def _gram_hash(lengths: list[int]) -> Column:
+    found = [F.when(F.size("gram") == k, _hash(F.col("gram"), F.lit(0), k)) for k in lengths]
+    return F.coalesce(*found, F.lit(None).cast("long"))
+
+
+def _table(grams: DataFrame, count: int) -> tuple[Column, int]:
     """The windows' bit table, as a literal array of longs. The words of the table, at most ``MAX_TABLE_BITS`` / 64, are made
     in an aggregate."""
     bits = 1 << min(max(10, (count * BITS_PER_WINDOW - 1).bit_length()), MAX_TABLE_BITS.bit_length() - 1)
-    h = F.coalesce(*(F.when(F.size("gram") == k, _hash(F.col("gram"), F.lit(0), k)) for k in lengths))
-    places = grams.select(h.alias("h")).select(F.explode(F.array(F.col("h").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(bits - 1)))).alias("place"))
+    places = grams.select(F.explode(F.array(F.col("h").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("h", 32).bitwiseAND(F.lit(bits - 1)))).alias("place"))
     words = places.groupBy(F.shiftright("place", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("x")).collect()
     longs = [0] * (bits // 64)
     for i, x in words:
@@ -85,17 +90,23 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, *, n: int = 10, key:
     listed = documents.select(F.col(key).alias("_key"), F.xxhash64(string).alias("_hash"), F.octet_length(string).alias("_bytes"), words(F.col(text)).alias("w"))
     # a row with s = -1 stands for the document itself
     starts = listed.select("_key", "_hash", "_bytes", "w", F.size("w").alias("n_words"), F.explode(F.sequence(F.lit(-1), F.size("w") - 1)).alias("s"))
-    windows = starts.where("s < 0").select("_key", "_hash", "_bytes", "n_words", "s", F.lit(None).cast("array<string>").alias("gram"))
-    if lengths:
-        table = _table(grams, sorted(lengths), count)
-        passes = {k: (F.col("s") >= 0) & (F.col("s") + k <= F.col("n_words")) & _passes(*table, _hash(F.col("w"), F.col("s"), k)) for k in sorted(lengths)}
-        gram = [F.when(p, F.slice("w", F.col("s") + 1, k)) for k, p in passes.items()]
-        own = F.when(F.col("s") < 0, F.array(F.lit(None).cast("array<string>")))
-        kept = starts.where(reduce(or_, passes.values(), F.col("s") < 0))
-        windows = kept.select("_key", "_hash", "_bytes", "n_words", "s", F.explode(F.coalesce(own, F.array_compact(F.array(*gram)))).alias("gram"))
-    joined = windows.join(F.broadcast(grams) if size <= MAX_BROADCAST_BYTES else grams, "gram", "left").where((F.col("s") < 0) | F.col("items").isNotNull())
-
-    span = F.when(F.col("s") >= 0, F.struct(F.col("s"), (F.col("s") + F.size("gram")).alias("e")))
+    one = {k: F.when((F.col("s") >= 0) & (F.col("s") + k <= F.col("n_words")), _hash(F.col("w"), F.col("s"), k)) for k in sorted(lengths)}
+    grams = grams.select("gram", "items", F.size("gram").alias("n"), _gram_hash(sorted(lengths)).alias("h"))
+    if size > MAX_BROADCAST_BYTES:
+        table = _table(grams, count)
+        starts = starts.where(reduce(or_, (_passes(*table, h) for h in one.values()), F.col("s") < 0))
+    else:
+        grams = F.broadcast(grams)
+    if len(lengths) > 1:
+        each = F.array(*(F.struct(F.lit(k).alias("k"), h.alias("h")) for k, h in one.items()))
+        none = F.array(F.struct(F.lit(0).alias("k"), F.lit(None).cast("long").alias("h")))
+        starts = starts.select("*", F.explode(F.when(F.col("s") < 0, none).otherwise(each)).alias("x")).select("_key", "_hash", "_bytes", "w", "n_words", "s", "x.k", "x.h")
+    else:
+        starts = starts.select("*", F.lit(min(lengths, default=0)).alias("k"), (*one.values(), F.lit(None).cast("long"))[0].alias("h"))
+    same = (F.col("gram") == F.when(F.col("s") >= 0, F.slice("w", F.col("s") + 1, F.col("k")))) & (F.col("n") == F.col("k"))
+    joined = starts.join(grams, "h", "left").where((F.col("s") < 0) | (F.col("gram").isNotNull() & same)).drop("w")
+
+    span = F.when(F.col("s") >= 0, F.struct(F.col("s"), (F.col("s") + F.col("k")).alias("e")))
     by = joined.groupBy("_key", "_hash", "_bytes").agg(
         F.max("n_words").cast("long").alias("n_words"),
         F.sum((F.col("s") < 0).cast("int")).alias("copies"),
