@@ -39,7 +39,7 @@ BANDS, ROWS = 35, 6
 #: Buckets up to this many nodes are compared by a join; larger ones in blocks.
 SMALL = 8
 #: A block of an open bucket has about so many nodes, and so many shingles, at most.
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Orders in which buckets choose a leader in the first round.
 ORDERS = 3
 #: Texts that a task remembers, so that copies in it are hashed once.
