@@ -7,7 +7,7 @@ Each task packs its own rows with a pool of bounded size, so nothing is shuffled
 that is run again gives the same sequences for the same rows. Sequence ids are unique: the task's number above 2**33.
 
 Defined cases: a null or empty text is one item of its end id alone; repeated rows are packed each; a null id stays
-null; an empty table gives no rows; an example over a limit by itself is an error (``pack_examples``).
+null; an empty table gives no rows; an example over a limit by itself gets no sequence (``pack_examples``).
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -190,38 +191,55 @@ def pack_documents(df: DataFrame, vocabulary: str, *, key: str = "doc_id", text:
     return df.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(packed, PIECES_DDL)
 
 
-EXAMPLES = pa.schema([("key", pa.string()), ("sequence_id", pa.int64()), ("position", pa.int64())])
+EXAMPLES = pa.schema([("key", pa.string()), ("tokens", pa.int64()), ("segments", pa.int64()), ("loss", pa.int64()), ("sequence_id", pa.int64()), ("position", pa.int64())])
 
 
 def pack_examples(df: DataFrame, key: str, tokens: str, segments: str, loss: str, limits: Limits, *, pool: int = POOL_ITEMS) -> DataFrame:
-    """Instruction examples, which are never cut: key (as text), sequence_id and position in the sequence. A null
-    demand counts as 0. An example beyond a limit by itself raises an error: split or truncate it before."""
+    """Instruction examples, which are never cut: key (as text), the demands, sequence_id and position in the sequence. A null
+    or negative demand counts as 0. An example beyond a limit by itself fits no sequence: its sequence_id and position are
+    null, so that the caller can split or truncate it."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, caps, number = Pool(limits, pool), limits.vector(), TaskContext.get().partitionId() << 33
 
-        def one() -> list:
-            left, keys = limits.vector(), []
+        def one() -> Iterator[tuple]:
+            nonlocal number
+            left, position = limits.vector(), 0
             while (i := waiting.best(left)) is not None:
-                left -= waiting.demand[i]
-                keys.append(waiting.take(i))
-            return keys
+                demand = waiting.demand[i].copy()
+                left -= demand
+                yield waiting.take(i), *map(int, demand), number, position
+                position += 1
+            number += 1
 
         def rows() -> Iterator[tuple]:
-            nonlocal number
             for batch in batches:
                 for name, *demand in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    vector = tuple(float(x or 0) for x in demand)
+                    vector = tuple(max(int(x or 0), 0) for x in demand)
                     if any(np.array(vector) > caps):
-                        raise ValueError(f"example {name} needs {vector}, more than {tuple(caps)}")
+                        yield name, *vector, None, None
+                        continue
                     waiting.put(vector, name)
                     if waiting.full:
-                        yield from ((k, number, i) for i, k in enumerate(one()))
-                        number += 1
+                        yield from one()
             while not waiting.empty:
-                yield from ((k, number, i) for i, k in enumerate(one()))
-                number += 1
+                yield from one()
 
         yield from _batches(rows(), EXAMPLES)
 
-    return df.select(F.col(key).cast("string"), tokens, segments, loss).mapInArrow(packed, "key string, sequence_id long, position long")
+    demands = [F.col(c).cast("long") for c in (tokens, segments, loss)]
+    return df.select(F.col(key).cast("string"), *demands).mapInArrow(packed, "key string, tokens long, segments long, loss long, sequence_id long, position long")
+
+
+def conversation_demands(df: DataFrame, vocabulary: str, *, key: str = "conv_id", role: str = "role", text: str = "text", learned: tuple[str, ...] = ("assistant",), end_id: int = 0) -> DataFrame:
+    """What each conversation takes as one example: key, tokens (of all turns, each with ``end_id``), segments (its turns) and
+    loss (tokens of turns whose role is ``learned``). Null texts are empty turns; rows without a key are one conversation.
+    Turns are counted where they are read, so a long conversation is added up from partial sums."""
+
+    @F.pandas_udf("long")
+    def counted(texts: pd.Series) -> pd.Series:
+        count = encoder(vocabulary).count
+        return pd.Series([count(t) + 1 for t in texts], dtype="int64")
+
+    turns = df.select(F.col(key).alias("_key"), F.coalesce(F.col(role).isin(*learned), F.lit(False)).alias("_learned"), counted(F.col(text).cast("string")).alias("_n"))
+    return turns.groupBy("_key").agg(F.sum("_n").alias("tokens"), F.count("*").alias("segments"), F.sum(F.when(F.col("_learned"), F.col("_n")).otherwise(0)).alias("loss")).withColumnRenamed("_key", key)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spindrift.llm import op_decontamination, op_language_id, op_license_scan, op_media_columns, op_near_duplicates, op_packing, op_quality, op_token_counts, op_toxicity, op_url_filter
+from spindrift.llm import op_decontamination, op_language_id, op_license_scan, op_media_columns, op_near_duplicates, op_packing, op_packing_examples, op_quality, op_token_counts, op_toxicity, op_url_filter
 from spindrift.shipping import ship
 
-_PARTS = (op_url_filter, op_token_counts, op_packing, op_decontamination, op_quality, op_language_id, op_toxicity, op_near_duplicates, op_license_scan, op_media_columns)
+_PARTS = (op_url_filter, op_token_counts, op_packing, op_decontamination, op_quality, op_language_id, op_toxicity, op_near_duplicates, op_license_scan, op_media_columns, op_packing_examples)
 
 
 

@@ -2,10 +2,9 @@ import zlib
 from collections import defaultdict
 
 import public_tokenizers
-import pytest
 from tokenizers import Tokenizer
 
-from spindrift.llm import op_packing, packing
+from spindrift.llm import op_packing, op_packing_examples, packing
 from spindrift.llm.op_packing import VOCABULARY
 
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -76,5 +75,46 @@ def test_examples_keep_all_limits(spark):
     assert all(a <= b for u in used.values() for a, b in zip(u, (1024, 12, 300), strict=True))
     least = max(sum(v[i] for v in by.values()) / c for i, c in enumerate((1024, 12, 300)))
     assert len(used) <= 1.15 * least + 4
-    with pytest.raises(Exception, match="more than"):
-        packing.pack_examples(df, "id", "tokens", "segments", "loss", packing.Limits(10, 1, 1)).collect()
+    few = packing.pack_examples(df, "id", "tokens", "segments", "loss", packing.Limits(100, 3, 50)).collect()
+    over = {str(r[0]) for r in rows if r[1] > 100 or r[2] > 3 or r[3] > 50}
+    assert {r.key for r in few if r.sequence_id is None} == over == {r.key for r in few if r.position is None} and len(few) == 3000
+
+
+def test_odd_examples(spark):
+    df = spark.createDataFrame([("a", None, 1, -5), (None, 5, 1, 1), ("a", 5, 1, 1)], "id string, tokens int, segments int, loss int")
+    rows = packing.pack_examples(df.coalesce(1), "id", "tokens", "segments", "loss", packing.Limits(10, 3, 2)).collect()
+    assert sorted(((r.key, r.tokens, r.loss) for r in rows), key=repr) == [("a", 0, 0), ("a", 5, 1), (None, 5, 1)] and {r.sequence_id for r in rows} == {0}
+    assert packing.pack_examples(df.limit(0), "id", "tokens", "segments", "loss", packing.Limits()).count() == 0
+
+
+def test_conversations_against_brute_force(spark):
+    d = "/root/testdata/sf0.1"
+    turns = spark.read.parquet(f"{d}/conversations.parquet").collect()
+    want = defaultdict(lambda: [0, 0, 0])
+    for r in turns:
+        n = len(LIBRARY.encode(r.text or "", add_special_tokens=False).ids) + 1
+        w = want[str(r.conv_id)]
+        w[0], w[1], w[2] = w[0] + n, w[1] + 1, w[2] + n * (r.role == "assistant")
+    limits = op_packing_examples.LIMITS
+    caps = [limits.tokens, limits.segments, limits.loss]
+    rows = op_packing_examples.query(spark, d).collect()
+    assert {r.key: [r.tokens, r.segments, r.loss] for r in rows} == want and len(rows) == len(want)
+    used, places = defaultdict(lambda: [0, 0, 0]), defaultdict(list)
+    for r in rows:
+        assert (r.sequence_id is None) == any(a > b for a, b in zip(want[r.key], caps, strict=True))
+        if r.sequence_id is not None:
+            used[r.sequence_id] = [a + b for a, b in zip(used[r.sequence_id], want[r.key], strict=True)]
+            places[r.sequence_id].append(r.position)
+    assert all(sorted(p) == [*range(len(p))] for p in places.values())
+    assert all(a <= b for u in used.values() for a, b in zip(u, caps, strict=True))
+    # each limit is the tightest one of some sequences, and full there
+    tightest = [max(range(3), key=lambda i: u[i] / caps[i]) for u in used.values() if max(x / c for x, c in zip(u, caps, strict=True)) >= 0.98]
+    assert {*tightest} == {0, 1, 2}
+    bound = max(sum(u[i] for u in used.values()) / caps[i] for i in range(3))
+    assert len(used) <= 1.1 * bound + 8
+
+
+def test_odd_conversations(spark):
+    df = spark.createDataFrame([(1, "user", None, 0), (1, "assistant", "a b", 0), (None, None, "x", 0), (None, "assistant", "", 0)], "conv_id long, role string, text string, tokens int")
+    got = {r.conv_id: (r.tokens, r.segments, r.loss) for r in packing.conversation_demands(df, VOCABULARY).collect()}
+    assert got == {1: (4, 2, 3), None: (3, 2, 1)}
