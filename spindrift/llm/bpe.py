@@ -17,7 +17,8 @@ from itertools import accumulate
 #: Texts of more characters than this are encoded in chunks of as many.
 CHUNK_CHARS = 1 << 16
 OVERLAP_CHARS = 1 << 8
-#: A boundary this close to a chunk's cut end is not trusted: special tokens and look-ahead may reach over the cut.
+#: A boundary this close to a chunk's cut end is not trusted: special tokens and look-ahead may reach over the cut. A vocabulary
+#: with longer special tokens widens it by their length.
 GUARD_CHARS = 32
 #: Entries kept by word and by piece in each Python worker; what comes later is encoded each time.
 KEPT_WORDS, KEPT_PIECES = 400_000, 300_000
@@ -114,7 +115,7 @@ class Encoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        return self.short(text) if len(text) <= CHUNK_CHARS else b"".join(spliced(text, self.chunk))
+        return self.short(text) if len(text) <= CHUNK_CHARS else b"".join(spliced(text, self.chunk, guard=GUARD_CHARS + max(map(len, self.special), default=0)))
 
     def count(self, text: str | None) -> int:
         return len(self.ids(text)) // 4
@@ -137,7 +138,7 @@ def _packed(ids: list[int]) -> bytes:
     return b"".join([i.to_bytes(4, "little") for i in ids])
 
 
-def spliced(text: str, encode: Callable[[str], tuple[list[int], list[int], bytes]], size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> Iterator[bytes]:
+def spliced(text: str, encode: Callable[[str], tuple[list[int], list[int], bytes]], size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, guard: int = GUARD_CHARS) -> Iterator[bytes]:
     """Ids of a huge text from overlapping chunks.
 
     The pre-tokenizer reads from left to right and looks ahead by one character, never back. So once both the chunk
@@ -150,12 +151,14 @@ def spliced(text: str, encode: Callable[[str], tuple[list[int], list[int], bytes
     ends, counts, ids = encode(text[:end])
     used = 0
     while end < n:
-        reach, till = overlap, min(n, end + max(size - overlap, 1))
+        reach, till = max(overlap, 2 * guard), min(n, end + max(size - overlap, 1))
         while True:
             start = max(base, end - reach)
+            if start == base:  # nothing stable so far: read on twice as far, so that a text without boundaries is not read often
+                till = min(n, max(till, base + 2 * (end - base)))
             next_ends, next_counts, next_ids = encode(text[start:till])
             known = dict(zip((start + e for e in next_ends), next_counts, strict=True))
-            common = next(((at + e, c) for e, c in zip(ends[:-2], counts[:-2], strict=True) if start < at + e <= end - GUARD_CHARS and at + e > base and at + e in known), None)
+            common = next(((at + e, c) for e, c in zip(ends[:-2], counts[:-2], strict=True) if start < at + e <= end - guard and at + e > base and at + e in known), None)
             if common or start == base:
                 break
             reach *= 2

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm.dart_minhash import WORD_BYTES, texts_of
+from spindrift.llm.storage import type_of
 
 #: Phrases and the labels that they give.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -199,7 +200,7 @@ class Scanner:
         return len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None, listed({label for _, label in base}), listed({TEMPLATE_LIST[k].label for _, k, _ in found}), score
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
+_OUT = pa.schema([("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())])
 
 
 def scan_licenses(spark: SparkSession, df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -211,7 +212,7 @@ def scan_licenses(spark: SparkSession, df: DataFrame, *, key: str = "doc_id", te
         scan = scanner.value.scan
         for batch in batches:
             rows = [scan(raw.tobytes() if raw is not None else b"") for raw in texts_of(batch.column(1))]
-            columns = [batch.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), [*_OUT][1:], strict=True))] if rows else [pa.array([], f.type) for f in _OUT]
-            yield pa.RecordBatch.from_arrays(columns, schema=_OUT)
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _OUT, strict=True)] if rows else [pa.array([], f.type) for f in _OUT]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *_OUT.names])
 
-    return df.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(scanned, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(scanned, f"doc_id {type_of(df, key)}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

@@ -22,6 +22,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from spindrift.llm.storage import fresh_path, materialize
+from spindrift.llm.storage import discard, fresh_path, materialize, type_of
 
 WIDTH = 64
 RANGE_BYTES, BATCH_BYTES, ATTEMPTS = 16 << 20, 4 << 20, 3
@@ -113,7 +114,7 @@ def store(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> list[tup
                     archive = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED)
                 payload = payload_of(string.as_py())
                 n_bytes = len(string.as_buffer()) if string.is_valid else 0
-                archive.writestr(zipfile.ZipInfo(f"{n:08d}.{'' if doc_id is None else doc_id}.png"), png(payload, n_bytes))
+                archive.writestr(zipfile.ZipInfo(f"{n:08d}{'' if doc_id is None else '.' + quote(str(doc_id), safe='')}.png"), png(payload, n_bytes))
                 n += 1
         if archive is not None:
             archive.close()
@@ -121,7 +122,7 @@ def store(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> list[tup
             sink.close()
             yield pa.RecordBatch.from_pydict({"path": [name], "size": [size]}, schema=pa.schema([("path", pa.string()), ("size", pa.int64())]))
 
-    done = materialize(df.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(written, "path string, size long"), "archives")
+    done = materialize(df.select(F.col(key).cast("string"), F.col(text).cast("string")).mapInArrow(written, "path string, size long"), "archives")
     return sorted((r.path, r.size) for r in done.collect())
 
 
@@ -197,7 +198,7 @@ class ArchiveReader(DataSourceReader):
         return None, error
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+_OUT = pa.schema([("doc_id", pa.string()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
 
 def media_columns(spark: SparkSession, df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -211,9 +212,10 @@ def media_columns(spark: SparkSession, df: DataFrame, *, key: str = "doc_id", te
             rows = []
             for name, image in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 payload, n_bytes = samples(image)
-                doc_id = name.split(".")[1]
-                rows.append((int(doc_id) if doc_id else None, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(image), hashlib.sha256(image).hexdigest(), feature(payload)))
+                doc_id = name.removesuffix(".png").partition(".")
+                rows.append((unquote(doc_id[2]) if doc_id[1] else None, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(image), hashlib.sha256(image).hexdigest(), feature(payload)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _OUT, strict=True)], schema=_OUT)
 
-    return members.select("name", "data").mapInArrow(read_back, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    found = members.select("name", "data").mapInArrow(read_back, "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return found.withColumn("doc_id", F.col("doc_id").cast(type_of(df, key)))

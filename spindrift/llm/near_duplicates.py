@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.components import connected_components
 from spindrift.llm.dart_minhash import U, bands, shingles, signature, texts_of
-from spindrift.llm.storage import discard, materialize
+from spindrift.llm.storage import discard, materialize, type_of
 
 SIMILARITY = 0.8
 BANDS, ROWS = 35, 6
@@ -42,10 +42,12 @@ SMALL = 8
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Orders in which buckets choose a leader in the first round.
 ORDERS = 3
+#: Up to so many ids to drop (24 bytes each) are broadcast; beyond, Spark chooses the join.
+MAX_BROADCAST_ROWS = 2_000_000
 #: Texts that a task remembers, so that copies in it are hashed once.
 KEPT_TEXTS = 1 << 20
 
-_SIGNED = pa.schema([("rid", pa.int64()), ("id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int32()))])
+_SIGNED = ("rid", "id", "h1", "h2", "bands", "shingles")
 
 
 def _lists(parts: list[np.ndarray | None], dtype) -> pa.ListArray:
@@ -62,7 +64,7 @@ def signed(df: DataFrame, *, key: str = "doc_id", text: str = "text", weighting:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid, seen = TaskContext.get().partitionId() << 33, set()
         for batch in batches:
-            ids, h1s, h2s = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            h1s, h2s = (batch.column(i).to_pylist() for i in (2, 3))
             keys, sets, size, begun = [], [], 0, 0
             for i, raw in enumerate(texts_of(batch.column(1))):
                 mine, found, had = None, None, (h1s[i], h2s[i])
@@ -79,13 +81,13 @@ def signed(df: DataFrame, *, key: str = "doc_id", text: str = "text", weighting:
                 sets.append(found)
                 if size > 1 << 20 or i + 1 == batch.num_rows:
                     span = slice(begun, i + 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(range(rid, rid + len(keys)), pa.int64()), pa.array(ids[span], pa.int64()), pa.array(h1s[span], pa.int64()), pa.array(h2s[span], pa.int64()), _lists(keys, np.int64), _lists(sets, np.int32)], schema=_SIGNED)
+                    yield pa.RecordBatch.from_arrays([pa.array(range(rid, rid + len(keys)), pa.int64()), batch.column(0).slice(begun, i + 1 - begun), pa.array(h1s[span], pa.int64()), pa.array(h2s[span], pa.int64()), _lists(keys, np.int64), _lists(sets, np.int32)], names=_SIGNED)
                     rid, begun, size, keys, sets = rid + len(keys), i + 1, 0, [], []
 
     string = F.col(text).cast("string")
     h1 = F.when(string.isNotNull(), F.xxhash64(string))
     h2 = F.when(string.isNotNull(), F.xxhash64(F.lit(1), string))
-    return df.select(F.col(key).cast("long"), string, h1, h2).mapInArrow(made, "rid long, id long, h1 long, h2 long, bands array<long>, shingles array<int>")
+    return df.select(F.col(key), string, h1, h2).mapInArrow(made, f"rid long, id {type_of(df, key)}, h1 long, h2 long, bands array<long>, shingles array<int>")
 
 
 def _near(na: Column, nb: Column, similarity: float) -> Column:
@@ -224,12 +226,20 @@ def near_duplicate_classes(df: DataFrame, *, key: str = "doc_id", text: str = "t
 
 
 def keep_first(df: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``df`` with one row of each class of near duplicates; all columns stay."""
+    """``df`` with one row of each class of near duplicates; all columns stay. Of rows that repeat both id and text the one
+    whose other columns sort first is kept (maps don't count there). Texts are not shuffled unless there are more than
+    ``MAX_BROADCAST_ROWS`` ids to drop."""
     string = F.col(text).cast("string")
     found = near_duplicate_classes(df, key=key, text=text, **options)
-    first = found.groupBy(F.col("id").alias("_id"), F.coalesce("h1", F.lit(0)).alias("_h1"), F.coalesce("h2", F.lit(0)).alias("_h2")).agg(F.max("first").alias("_first"), F.count("h1").alias("_rows")).where("_first")
+    # every null text is the first of its class
+    keys = found.groupBy(F.col("id").alias("_id"), F.coalesce("h1", F.lit(0)).alias("_h1"), F.coalesce("h2", F.lit(0)).alias("_h2")).agg(F.max("first").alias("_first"), F.count("h1").alias("_rows"))
+    keys = materialize(keys.where("not _first or _rows > 1"), "dropped")
+    discard(found)
+    size = (lambda x: F.broadcast(x)) if keys.count() <= MAX_BROADCAST_ROWS else (lambda x: x)
     h1, h2 = F.coalesce(F.when(string.isNotNull(), F.xxhash64(string)), F.lit(0)), F.coalesce(F.when(string.isNotNull(), F.xxhash64(F.lit(1), string)), F.lit(0))
-    same = F.col(key).cast("long").eqNullSafe(F.col("_id")) & (h1 == F.col("_h1")) & (h2 == F.col("_h2"))
-    # every null text is the first of its class; of rows that repeat both id and text, one is kept
-    once, again = (df.join(first.where(c), same, "left_semi") for c in ("_rows < 2", "_rows > 1"))
-    return once.unionByName(again.dropDuplicates([key, text]))
+    same = F.col(key).eqNullSafe(F.col("_id")) & (h1 == F.col("_h1")) & (h2 == F.col("_h2"))
+    once = df.join(size(keys), same, "left_anti")
+    again = df.join(size(keys.where("_first")), same, "left_semi")
+    order = F.struct(*(F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()))
+    again = again.groupBy(F.col(key).alias("_id"), F.xxhash64(string).alias("_h1"), F.xxhash64(F.lit(1), string).alias("_h2")).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), order).alias("_row"))
+    return once.unionByName(again.select("_row.*"))

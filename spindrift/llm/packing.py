@@ -13,7 +13,7 @@ null; an empty table gives no rows; an example over a limit by itself gets no se
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm.bpe import encoder
+from spindrift.llm.storage import type_of
 
 SEQUENCE_TOKENS, MAX_SEGMENTS, MAX_LOSS_TOKENS = 1024, 128, 1023
 #: Items that wait in a task for a sequence that they fit.
@@ -156,19 +157,24 @@ class DocumentPacker:
             yield from self._closed(pieces, self.pool.empty)
 
 
-PIECES = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
-PIECES_DDL = "doc_id long, doc_tokens long, start long, length long, ids_crc32 long, sequence_id long, offset long"
+PIECES = pa.schema([("doc_tokens", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+PIECES_DDL = "doc_tokens long, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _batches(rows: Iterator[tuple], schema: Callable[[], pa.Schema]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches; ``schema`` is asked for when there are rows."""
+
+    def made(kept: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept, strict=True), schema(), strict=True)], schema=schema())
+
     kept: list[tuple] = []
     for row in rows:
         kept.append(row)
         if len(kept) == BATCH_ROWS:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept, strict=True), schema, strict=True)], schema=schema)
+            yield made(kept)
             kept = []
     if kept:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept, strict=True), schema, strict=True)], schema=schema)
+        yield made(kept)
 
 
 def pack_documents(df: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "text", end_id: int = 0, limits: Limits = Limits(), pool: int = POOL_ITEMS) -> DataFrame:
@@ -177,18 +183,20 @@ def pack_documents(df: DataFrame, vocabulary: str, *, key: str = "doc_id", text:
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).ids
-        packer = DocumentPacker(limits, pool, TaskContext.get().partitionId() << 33)
+        packer, schema = DocumentPacker(limits, pool, TaskContext.get().partitionId() << 33), PIECES
 
         def rows() -> Iterator[tuple]:
+            nonlocal schema
             for batch in batches:
+                schema = pa.schema([pa.field("doc_id", batch.schema.field(0).type), *PIECES])
                 for doc_id, string in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     ids = encode(string.as_py()) + end
                     yield from packer.add((doc_id, len(ids) // 4), ids)
             yield from packer.finish()
 
-        yield from _batches(rows(), PIECES)
+        yield from _batches(rows(), lambda: schema)
 
-    return df.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(packed, PIECES_DDL)
+    return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(packed, f"doc_id {type_of(df, key)}, {PIECES_DDL}")
 
 
 EXAMPLES = pa.schema([("key", pa.string()), ("tokens", pa.int64()), ("segments", pa.int64()), ("loss", pa.int64()), ("sequence_id", pa.int64()), ("position", pa.int64())])
@@ -225,7 +233,7 @@ def pack_examples(df: DataFrame, key: str, tokens: str, segments: str, loss: str
             while not waiting.empty:
                 yield from one()
 
-        yield from _batches(rows(), EXAMPLES)
+        yield from _batches(rows(), lambda: EXAMPLES)
 
     demands = [F.col(c).cast("long") for c in (tokens, segments, loss)]
     return df.select(F.col(key).cast("string"), *demands).mapInArrow(packed, "key string, tokens long, segments long, loss long, sequence_id long, position long")

@@ -21,6 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def type_of(df: DataFrame, column: str) -> str:
+    """A column's type as DDL."""
+    return df.select(column).schema[0].dataType.simpleString()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/spindrift-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 

@@ -1,7 +1,8 @@
 """Token counts of whole texts. Huge texts are encoded in overlapping chunks, resynchronised at stable boundaries.
 
 Defined cases: a null or empty text has no tokens and no bytes; repeated rows are counted each; other columns pass
-through, and a column that already has a result's name is an error of the caller, not silently replaced.
+through; a column that already has a result's name is not replaced but an error, which ``prefix`` avoids; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -13,9 +14,10 @@ from pyspark.sql import functions as F
 from spindrift.llm.bpe import encoder
 
 
-def count_tokens(df: DataFrame, vocabulary: str, *, text: str = "text", limit: int = 1024) -> DataFrame:
-    """``df`` with n_bytes, n_tokens and over_limit. ``vocabulary`` is a path that each executor can open. Map-only."""
-    if taken := {"n_bytes", "n_tokens", "over_limit"} & {*df.columns}:
+def count_tokens(df: DataFrame, vocabulary: str, *, text: str = "text", limit: int = 1024, prefix: str = "") -> DataFrame:
+    """``df`` with n_bytes, n_tokens and over_limit (after ``prefix``). ``vocabulary`` is a path that each executor can open. Map-only."""
+    names = [prefix + n for n in ("n_bytes", "n_tokens", "over_limit")]
+    if taken := {*names} & {*df.columns}:
         raise ValueError(f"columns {sorted(taken)} exist already")
 
     @F.pandas_udf("long")
@@ -23,5 +25,5 @@ def count_tokens(df: DataFrame, vocabulary: str, *, text: str = "text", limit: i
         count = encoder(vocabulary).count
         return pd.Series([count(t) for t in texts], dtype="int64")
 
-    counted = df.withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long")).withColumn("n_tokens", tokens(F.col(text)))
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    counted = df.withColumn(names[0], F.coalesce(F.octet_length(text), F.lit(0)).cast("long")).withColumn(names[1], tokens(F.col(text)))
+    return counted.withColumn(names[2], F.col(names[1]) > limit)

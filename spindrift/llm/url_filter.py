@@ -5,8 +5,8 @@ path. The longest rule (host and path together) wins; of equally long ones the l
 actions, block. A url that no rule fits gets the default action.
 
 Defined cases: a null url, or one without ``://``, has an empty host and an empty path (only rules with an empty host
-could fit, and there are none); an empty table gives no rows; extra columns of the table are ignored by ``judge_urls``
-callers that select what they need, and never clash because results come in one struct.
+could fit, and there are none); repeated rows are judged each; an empty table gives no rows; other columns pass through, and
+results come in one struct whose name must not be taken.
 """
 
 from __future__ import annotations
@@ -111,6 +111,8 @@ def judge_urls(spark: SparkSession, urls: DataFrame, rules: Iterable[tuple[str,
 
     Map-only: the trie goes to the executors once, as a broadcast, if its rules are within ``MAX_BROADCAST_CHARS``;
     a larger rule set must be given to ``judge_urls_by_join``."""
+    if result in urls.columns:
+        raise ValueError(f"column {result} exists already; give another name as result")
     rules = [Rule(*r) for r in rules]
     if (size := sum(len(r.text) for r in rules)) > MAX_BROADCAST_CHARS:
         raise ValueError(f"{size} characters of rules are too many to broadcast; use judge_urls_by_join")
@@ -131,14 +133,17 @@ def judge_urls(spark: SparkSession, urls: DataFrame, rules: Iterable[tuple[str,
 
 
 def judge_urls_by_join(urls: DataFrame, rules: DataFrame, key: str, *, url: str = "url", default: str = "allow") -> DataFrame:
-    """The same judgement for any number of rules (columns action, host, path): each url is looked up by every suffix of
-    its host and every prefix of its path, in a shuffled join. Returns key, host, path, rule, verdict; key is unique."""
+    """The same judgement for any number of rules (columns action, host, path), in shuffled joins: each distinct host and path
+    is looked up by every suffix of the host and every prefix of the path of a length that a rule of that host has. Returns
+    key, host, path, rule, verdict, a row for each of ``urls``, whose keys may repeat or be null."""
     host, path = host_and_path(F.col(url))
     rows = urls.select(F.col(key), host.alias("host"), path.alias("path"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.transform(F.sequence(F.lit(0), F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    keys = rows.select(key, F.explode(suffixes).alias("_h"), "path").select(key, "_h", F.explode(prefixes).alias("_p"))
+    rules = rules.select("action", F.col("host").alias("_h"), F.col("path").alias("_p")).distinct()
+    lengths = rules.groupBy("_h").agg(F.collect_set(F.length("_p")).alias("_n"))
+    keys = rows.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("_h")).join(lengths, "_h")
+    keys = keys.select("host", "path", "_h", F.explode("_n").alias("_n")).where(F.col("_n") <= F.length("path")).select("host", "path", "_h", F.substring(F.col("path"), F.lit(1), F.col("_n")).alias("_p"))
     rank = F.struct((F.length("_h") + F.length("_p")).alias("n"), F.length("_h").alias("h"), (F.col("action") == "block").alias("b"), F.concat("_h", "_p").alias("rule"), F.col("action"))
-    best = keys.join(rules.select("action", F.col("host").alias("_h"), F.col("path").alias("_p")), ["_h", "_p"]).groupBy(key).agg(F.max(rank).alias("best"))
-    return rows.join(best, key, "left").select(key, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    best = keys.join(rules, ["_h", "_p"]).groupBy("host", "path").agg(F.max(rank).alias("best"))
+    return rows.join(best, ["host", "path"], "left").select(key, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
