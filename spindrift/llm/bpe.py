@@ -14,6 +14,8 @@ import re
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
+from spindrift.llm.worker import turn
+
 #: Texts of more characters than this are encoded in chunks of as many.
 CHUNK_CHARS = 1 << 16
 OVERLAP_CHARS = 1 << 8
@@ -177,6 +179,7 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """One encoder for each file in each Python worker."""
+    turn("bpe", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

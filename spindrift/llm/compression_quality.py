@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.storage import discard
 from spindrift.llm.training import Logistic, class_weights, labelled_rows, rows_of
+from spindrift.llm.worker import turn
 
 PER_CLASS = 3000
 DICTIONARY_BYTES = 64 << 10
@@ -124,6 +125,7 @@ def quality_score(spark: SparkSession, model: QualityModel, text: Column) -> Col
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        turn("quality")
         return pd.Series(sent.value.scores(texts.tolist()))
 
     return score(text)

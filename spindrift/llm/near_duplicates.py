@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from spindrift.llm.components import connected_components
 from spindrift.llm.dart_minhash import U, bands, shingles, signature, texts_of
 from spindrift.llm.storage import discard, materialize, type_of
+from spindrift.llm.worker import turn
 
 SIMILARITY = 0.8
 BANDS, ROWS = 35, 6
@@ -62,6 +63,7 @@ def signed(df: DataFrame, *, key: str = "doc_id", text: str = "text", weighting:
     band keys and sorted 32-bit shingle hashes; both are null for what a task has had before or what has no words."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("near duplicates")
         rid, seen = TaskContext.get().partitionId() << 33, set()
         for batch in batches:
             h1s, h2s = (batch.column(i).to_pylist() for i in (2, 3))

@@ -38,6 +38,7 @@ from xxhash import xxh3_64_intdigest
 from spindrift.llm.dart_minhash import U, mix
 from spindrift.llm.storage import discard, materialize
 from spindrift.llm.training import Logistic, class_weights, labelled_rows, rows_of
+from spindrift.llm.worker import turn
 
 PER_CLASS = 4000
 #: Words whose symbols a worker remembers; rows of a result batch.
@@ -251,6 +252,7 @@ def _contexts(rows: DataFrame) -> DataFrame:
     of the word's rows."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("toxicity")
         for batch in batches:
             for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 found = _WORD.findall(text.as_py().lower())
@@ -332,6 +334,7 @@ def toxicity_score(spark: SparkSession, model: ToxicityModel, text: Column) -> C
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        turn("toxicity")
         return pd.Series(sent.value.scores(texts.tolist()))
 
     return score(text)
