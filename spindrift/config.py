@@ -13,11 +13,16 @@ class Mode(Enum):
     PUSHDOWN_ONLY = "pushdown_only"
     CACHING_ONLY = "caching_only"
     HYBRID = "hybrid"
+    ADAPTIVE = "adaptive"
 
 
 class Prefilter(Enum):
     NONE = "none"
+    #: Bloom filters from the smaller to the larger side of each join.
+    JOIN = "join"
+    #: Bloom filters over the whole join graph, there and back.
     BLOOM = "bloom"
+    #: Exact key sets over the whole join graph, there and back.
     SEMI = "semi"
 
 
@@ -26,6 +31,15 @@ class TransferOrder(Enum):
     BREADTH_FIRST = "breadth_first"
 
 
+@dataclass(frozen=True)
+class StoreLoad:
+    """What the adaptive mode knows of the store: how long a request waits, how many were refused, how many pull-ups run at once."""
+
+    wait_seconds: float = 0.0
+    fallbacks: int = 0
+    max_pullups: int = 36
+
+
 @dataclass(frozen=True)
 class EngineConfig:
     mode: Mode = Mode.PUSHDOWN_ONLY
@@ -33,7 +47,7 @@ class EngineConfig:
     cache_bytes: int = 1 << 30
     prefilter: Prefilter = Prefilter.NONE
     transfer_order: TransferOrder = TransferOrder.SMALL_TO_LARGE
-    heuristic_join_order: bool = False
     bloom_rate: float = 0.01
     bloom_max_rows: int = 20_000_000
     zone_maps: bool = True
+    store: StoreLoad = StoreLoad()

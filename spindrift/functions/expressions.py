@@ -2,8 +2,8 @@
 
 A node is {"op": name, ...}: ``column`` has name; ``literal`` has value and, for date and interval, type ("date",
 "interval_day", "interval_month"); all others have args, which are nodes. ``in`` has values (literals) besides, ``cast`` and
-``extract`` have to and unit. Integer division keeps integers, as int / int is declared to in these trees; SQL text follows
-Spark.
+``extract`` have to and unit. Integer division keeps integers, as int / int is declared to in these trees: ``typed`` marks the
+columns that hold them. SQL text follows Spark.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spindrift.functions.types import spark_type
 
@@ -40,6 +41,8 @@ def _literal(node: Node) -> Column:
     value, kind = node["value"], node.get("type")
     if kind == "date":
         return F.lit(value if isinstance(value, datetime.date) else datetime.date.fromisoformat(value))
+    if kind == "timestamp_ntz":
+        return F.lit(str(value)).cast("timestamp_ntz")
     if kind == "timestamp":
         return F.lit(value if isinstance(value, datetime.datetime) else datetime.datetime.fromisoformat(value))
     if kind == "interval_day":
@@ -49,16 +52,32 @@ def _literal(node: Node) -> Column:
     return F.lit(value)
 
 
+def typed(node: Node, df: DataFrame) -> Node:
+    """The tree with a mark on columns that hold integers in ``df``."""
+    integers = {f.name.lower() for f in df.schema if isinstance(f.dataType, T.IntegralType)}
+
+    def marked(n: Node) -> Node:
+        if n["op"] == "column":
+            return n | {"integer": True} if n["name"].lower() in integers else n
+        return n | {"args": [*map(marked, n["args"])]} if "args" in n else n
+
+    return marked(node)
+
+
 def _integer(node: Node) -> bool:
     if node["op"] == "literal":
-        return isinstance(node["value"], int) and not isinstance(node["value"], bool)
-    return node.get("integer", False) or (node["op"] in ("add", "subtract", "multiply", "divide") and all(map(_integer, node["args"])))
+        return isinstance(node["value"], int) and not isinstance(node["value"], bool) and "type" not in node
+    if node["op"] == "cast":
+        return isinstance(spark_type(node["to"]), T.IntegralType)
+    if node["op"] == "if":
+        return all(map(_integer, [*node["args"][1::2], node["args"][-1]]))
+    return node.get("integer", False) or node["op"] == "extract" or (node["op"] in ("add", "subtract", "multiply", "divide") and all(map(_integer, node["args"])))
 
 
 def _divide(node: Node) -> Column:
     a, b = map(to_column, node["args"])
     if all(map(_integer, node["args"])):
-        return F.when(b != 0, F.try_divide(a, b).cast("long"))
+        return F.when(b != 0, F.call_function("div", a, b))
     return F.try_divide(a, b)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.functions.expressions import Node, columns_of, to_column
+from spindrift.functions.expressions import Node, columns_of, to_column, typed
 
 JOINS = {"inner": "inner", "left": "left", "right": "right", "full": "full", "left_semi": "left_semi", "right_semi": "left_semi", "left_anti": "left_anti"}
 
@@ -26,14 +26,14 @@ def filter_(df: DataFrame, predicate: Node | None) -> DataFrame:
     if predicate is None:
         return df
     _known(df, columns_of(predicate))
-    return df.where(to_column(predicate))
+    return df.where(to_column(typed(predicate, df)))
 
 
 def project(df: DataFrame, columns: Sequence[str | tuple[str, str]] = (), expressions: dict[str, Node] | None = None) -> DataFrame:
     """``columns``: names, or (old, new) pairs; ``expressions`` by the name of the result."""
     pairs = [(c, c) if isinstance(c, str) else c for c in columns]
     _known(df, {a for a, _ in pairs}.union(*map(columns_of, (expressions or {}).values())))
-    return df.select(*(F.col(a).alias(b) for a, b in pairs), *(to_column(e).alias(n) for n, e in (expressions or {}).items()))
+    return df.select(*(F.col(a).alias(b) for a, b in pairs), *(to_column(typed(e, df)).alias(n) for n, e in (expressions or {}).items()))
 
 
 def _apart(left: DataFrame, right: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -64,12 +64,13 @@ def nested_loop_join(left: DataFrame, right: DataFrame, how: str = "inner", pred
     right, _ = _apart(left, right)
     if predicate is None:
         return left.crossJoin(right) if how == "inner" else left.join(right, F.lit(True), JOINS[how])
-    _known(left.crossJoin(right), columns_of(predicate))
-    return left.join(right, to_column(predicate), JOINS[how])
+    pairs = left.crossJoin(right)  # for its columns only
+    _known(pairs, columns_of(predicate))
+    return left.join(right, to_column(typed(predicate, pairs)), JOINS[how])
 
 
-def _aggregate(kind: str, argument: Node | None) -> Column:
-    c = to_column(argument) if argument is not None else None
+def _aggregate(kind: str, argument: Node | None, df: DataFrame) -> Column:
+    c = to_column(typed(argument, df)) if argument is not None else None
     made = {
         "sum": lambda: F.sum(c),
         "sum0": lambda: F.coalesce(F.sum(c), F.lit(0)),
@@ -86,7 +87,7 @@ def _aggregate(kind: str, argument: Node | None) -> Column:
 
 def aggregate(df: DataFrame, functions: dict[str, tuple[str, Node | None]]) -> DataFrame:
     """One row, also over no rows. ``functions``: name of the result → (kind, argument)."""
-    return df.agg(*(_aggregate(k, a).alias(n) for n, (k, a) in functions.items()))
+    return df.agg(*(_aggregate(k, a, df).alias(n) for n, (k, a) in functions.items()))
 
 
 def group(df: DataFrame, keys: Sequence[str], functions: dict[str, tuple[str, Node | None]] | None = None) -> DataFrame:
@@ -94,7 +95,7 @@ def group(df: DataFrame, keys: Sequence[str], functions: dict[str, tuple[str, No
     _known(df, set(keys))
     if not functions:
         return df.select(*keys).distinct()
-    return df.groupBy(*keys).agg(*(_aggregate(k, a).alias(n) for n, (k, a) in functions.items()))
+    return df.groupBy(*keys).agg(*(_aggregate(k, a, df).alias(n) for n, (k, a) in functions.items()))
 
 
 def _orders(keys: Sequence[tuple[str, str]]) -> list[Column]:

@@ -20,7 +20,7 @@ from spindrift.sources.shared import scratch_path
 
 @dataclass(frozen=True)
 class Edge:
-    """An equi-join of two relations; how: inner, left, right, full or left_semi, seen from ``left``."""
+    """An equi-join of two relations; how: inner, left, right, full, left_semi or left_anti, seen from ``left``."""
 
     left: str
     right: str
@@ -38,7 +38,7 @@ class Edge:
         """Whether rows of ``target`` without a partner are never in the result."""
         if self.how == "full":
             return False
-        preserved = {"left": self.left, "right": self.right}.get(self.how)
+        preserved = {"left": self.left, "left_anti": self.left, "right": self.right}.get(self.how)
         return target != preserved
 
 
@@ -65,6 +65,9 @@ class JoinGraph:
     rows: dict[str, int]
     edges: list[Edge]
     done: list[Reduction] = field(default_factory=list)
+    #: Relations that are whole tables; until something reduces them, their keys are not sent.
+    whole: set[str] = field(default_factory=set)
+    hash_keys: dict[str, str] = field(default_factory=dict)
 
     def size(self, name: str) -> tuple[int, str]:
         return self.rows[name], name
@@ -94,35 +97,51 @@ class JoinGraph:
                         waiting.append(child)
         return found[::-1]
 
+    def _sent(self, name: str, df: DataFrame) -> DataFrame:
+        """The columns that a reduced relation's edges join on, written: its scan and reductions run once for all of them."""
+        columns = sorted({k for e in self.edges if name in (e.left, e.right) for k in e.keys(name)})
+        return _written(df.select(*columns).distinct(), "sent")
+
     def transfer(self, config: EngineConfig) -> JoinGraph:
-        """The graph with reduced relations. Filters and key sets are made now, a job for each edge and direction."""
+        """The graph with reduced relations. Filters and key sets are made now, a job for each edge and direction; a relation
+        that sends keys over several edges is read once for them. ``Prefilter.JOIN`` only goes forward, from the smaller to
+        the larger side of each join."""
         if config.prefilter is Prefilter.NONE:
             return self
-        order = self.small_to_large() if config.transfer_order is TransferOrder.SMALL_TO_LARGE else self.breadth_first()
-        reduced, done = dict(self.relations), []
-        for phase, steps in (("forward", order), ("backward", [(b, a, e) for a, b, e in reversed(order)])):
+        order = self.small_to_large() if config.transfer_order is TransferOrder.SMALL_TO_LARGE or config.prefilter is Prefilter.JOIN else self.breadth_first()
+        reduced, done, sent = dict(self.relations), [], {}
+        untouched = set(self.whole)
+        phases = [("forward", order)] + ([("backward", [(b, a, e) for a, b, e in reversed(order)])] if config.prefilter is not Prefilter.JOIN else [])
+        for phase, steps in phases:
             for source, target, e in steps:
-                if not e.may_reduce(target):
+                if not e.may_reduce(target) or source in untouched:
+                    continue
+                exact = config.prefilter is Prefilter.SEMI
+                if not exact and self.rows[source] > config.bloom_max_rows:
                     continue
                 a, b = reduced[source], reduced[target]
-                if config.prefilter is Prefilter.SEMI:
+                if sum(source in (x.left, x.right) for x in self.edges) > 1:
+                    a = sent[source] = sent[source] if source in sent else self._sent(source, a)
+                if exact:
                     keys = _written(a.select(*(a[k].alias(f"_k{i}") for i, k in enumerate(e.keys(source)))).distinct(), "keys")
                     reduced[target] = b.join(keys, [b[k] == keys[f"_k{i}"] for i, k in enumerate(e.keys(target))], "left_semi")
-                elif self.rows[source] <= config.bloom_max_rows:
+                else:
                     bloom = _written(build(a, e.keys(source), self.rows[source], config.bloom_rate), "bloom")
                     reduced[target] = probe(b, e.keys(target), bloom, self.rows[source], config.bloom_rate)
-                else:
-                    continue
+                untouched.discard(target)
+                sent.pop(target, None)
                 done.append(Reduction(source, target, config.prefilter.value, phase))
-        return JoinGraph(reduced, self.rows, self.edges, done)
+        return JoinGraph(reduced, self.rows, self.edges, done, self.whole, self.hash_keys)
 
     def order(self) -> list[str]:
-        """Left-deep: the smallest relation, then always the smallest that is connected to what is joined."""
+        """Left-deep: the smallest relation, then always the one whose join with what is joined is estimated smallest;
+        co-located joins count half."""
         names = sorted(self.relations, key=self.size)
         order = [names[0]]
         while len(order) < len(names):
             rest = [n for n in names if n not in order]
-            order.append(next((n for n in rest if any(self.between(n, o) for o in order)), rest[0]))
+            linked = {n: min(estimated_rows(e, self.rows, self.hash_keys) if co_located([e], self.hash_keys) else float(self.rows[n]) for o in order for e in self.between(n, o)) for n in rest if any(self.between(n, o) for o in order)}
+            order.append(min(linked, key=lambda n: (linked[n], self.size(n))) if linked else rest[0])
         return order
 
     def join(self, order: Sequence[str] | None = None) -> DataFrame:
@@ -134,8 +153,7 @@ class JoinGraph:
             r = self.relations[name]
             mine = [e for o in order[:i] for e in self.between(name, o)]
             if not mine:
-                joined = joined.crossJoin(r)
-                continue
+                raise ValueError(f"{name} has no join with {order[:i]}: a product must be asked for by nested_loop_join")
             on = [joined[a] == r[b] for e in mine for a, b in zip(e.keys(e.other(name)), e.keys(name), strict=True)]
             how = mine[0].how if len(mine) == 1 else "inner"
             if how in ("left", "right") and name == mine[0].left:

@@ -4,25 +4,27 @@
 * pushdown: zone maps choose partitions, each with what is left of the predicate, and filters reach the reader;
 * caching: every column comes through the segment cache, missing ones are fetched and offered to it;
 * hybrid: for each partition, held columns are used if they cover the predicate and at least one projected column (what
-  is missing is fetched and stitched by row number), else the scan is pushed down; missing segments are offered to the cache.
+  is missing is fetched and stitched by row number), else the scan is pushed down; missing segments are offered to the cache;
+* adaptive: pushed down or pulled up, by estimated costs and the store's load.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.config import EngineConfig, Mode
-from spindrift.functions.expressions import Node, columns_of, leaves, to_column
-from spindrift.operators.pruning import prune
+from spindrift.functions.expressions import Node, columns_of, leaves, to_column, typed
+from spindrift.operators.pruning import prune, selectivity
 from spindrift.sources import files
 from spindrift.sources.cache import ROW, SegmentCache, with_rows
 from spindrift.sources.catalog import Table
-from spindrift.sources.policies import SegmentKey, pushdown_weight
+from spindrift.sources.policies import FILTER_RATE, NETWORK_RATE, SCAN_RATE, SegmentKey, pushdown_weight
 
 
 def _union(frames: Iterable[DataFrame], empty: DataFrame) -> DataFrame:
@@ -36,7 +38,7 @@ def pull_up(spark: SparkSession, table: Table, predicate: Node | None, columns:
     if predicate is None:
         return df.select(*columns)
     # a filter never moves below a column of a non-deterministic expression
-    return df.withColumn("_pulled", F.monotonically_increasing_id()).where(to_column(predicate) & (F.col("_pulled") >= 0)).select(*columns)
+    return df.withColumn("_pulled", F.monotonically_increasing_id()).where(to_column(typed(predicate, df)) & (F.col("_pulled") >= 0)).select(*columns)
 
 
 def pushed_down(spark: SparkSession, table: Table, predicate: Node | None, columns: Sequence[str], zone_maps: bool = True) -> DataFrame:
@@ -45,7 +47,7 @@ def pushed_down(spark: SparkSession, table: Table, predicate: Node | None, colum
     by: dict[str, tuple[Node | None, list[str]]] = {}
     for path, rest in kept.items():
         by.setdefault(repr(rest), (rest, []))[1].append(path)
-    scans = [(d if rest is None else d.where(to_column(rest))).select(*columns) for rest, paths in by.values() for d in [table.read(spark, paths)]]
+    scans = [(d if rest is None else d.where(to_column(typed(rest, d)))).select(*columns) for rest, paths in by.values() for d in [table.read(spark, paths)]]
     return _union(scans, files.read(spark, table.form, [], table.schema).select(*columns))
 
 
@@ -60,7 +62,7 @@ def cached(spark: SparkSession, table: Table, predicate: Node | None, columns: S
             hit = need & held
         rest = need - hit
         df = _stitched(spark, table, p, hit, rest, None, cache)
-        parts.append((df if predicate is None else df.where(to_column(predicate))).select(*columns))
+        parts.append((df if predicate is None else df.where(to_column(typed(predicate, df)))).select(*columns))
     return _union(parts, files.read(spark, table.form, [], table.schema).select(*columns))
 
 
@@ -68,9 +70,9 @@ def _stitched(spark: SparkSession, table: Table, partition: str, hit: set[str],
     """Held columns, filtered by a predicate over them, with the rest joined by row number."""
     if not hit:
         df = with_rows(spark, table, partition, rest)
-        return df if predicate is None else df.where(to_column(predicate))
+        return df if predicate is None else df.where(to_column(typed(predicate, df)))
     df = cache.frame(table, partition).select(ROW, *sorted(hit))
-    df = df if predicate is None else df.where(to_column(predicate))
+    df = df if predicate is None else df.where(to_column(typed(predicate, df)))
     return df.join(with_rows(spark, table, partition, rest), ROW) if rest else df
 
 
@@ -87,10 +89,10 @@ def hybrid(spark: SparkSession, table: Table, predicate: Node | None, columns: S
         if miss:
             row = sum(table.column_bytes.values()) or 8.0 * len(need)
             for c in miss:
-                cache.policy.on_weight(SegmentKey(table.name, p, c), pushdown_weight(1.0, row, table.column_bytes.get(c, 8.0), leaves(predicate), len(miss)))
+                cache.policy.on_weight(SegmentKey(table.name, p, c), pushdown_weight(selectivity(predicate, table.zones.get(p, {})), row, table.column_bytes.get(c, 8.0), leaves(predicate), len(miss)))
             cache.store(table, p, miss)
     if pushed:
-        few = Table(table.name, table.form, pushed, table.schema, table.delimiter, zones=table.zones)
+        few = replace(table, paths=pushed)
         parts.append(pushed_down(spark, few, predicate, columns, zone_maps))
     return _union(parts, files.read(spark, table.form, [], table.schema).select(*columns))
 
@@ -100,6 +102,8 @@ def scan(spark: SparkSession, table: Table, predicate: Node | None, columns: Seq
         return pull_up(spark, table, predicate, columns)
     if config.mode is Mode.PUSHDOWN_ONLY:
         return pushed_down(spark, table, predicate, columns, config.zone_maps)
+    if config.mode is Mode.ADAPTIVE:
+        return adaptive(spark, table, predicate, columns, config)
     if cache is None:
         raise ValueError(f"{config.mode} needs a cache")
     if config.mode is Mode.CACHING_ONLY:
@@ -109,7 +113,7 @@ def scan(spark: SparkSession, table: Table, predicate: Node | None, columns: Seq
 
 def filter_bitmap(spark: SparkSession, table: Table, predicate: Node) -> DataFrame:
     """The rows (file, row number) that satisfy a predicate, as a side that evaluated it would send them."""
-    df = table.read(spark).where(to_column(predicate))
+    df = (lambda d: d.where(to_column(typed(predicate, d))))(table.read(spark))
     return df.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias(ROW))
 
 
@@ -120,6 +124,19 @@ def scan_by_bitmap(spark: SparkSession, table: Table, bitmap: DataFrame, columns
 
 
 def push_down_now(pushdown_seconds: float, wait_seconds: float, pullup_seconds: float, fallbacks: int, max_pullups: int) -> bool:
-    """The adaptive decision at a storage node: take a request, if waiting for and running it there is no slower than the rounds
-    of pull-ups that it would join."""
-    return pushdown_seconds + wait_seconds <= math.ceil((fallbacks + 1) / max(max_pullups, 1)) * pullup_seconds
+    """The adaptive decision at a storage node: take a request if waiting for it and running it is faster than the rounds of
+    pull-ups that the requests refused so far make; alike, it is refused."""
+    return max(1, math.ceil(fallbacks / max(max_pullups, 1))) * pullup_seconds > pushdown_seconds + wait_seconds
+
+
+def adaptive(spark: SparkSession, table: Table, predicate: Node | None, columns: Sequence[str], config: EngineConfig) -> DataFrame:
+    """Pushed down or pulled up, as the cost model and the store's load (``config.store``) say."""
+    rows = table.rows if table.rows is not None else 1_000_000
+    width = lambda names: sum(table.column_bytes.get(c, 8.0) for c in names)
+    need = {*columns} | columns_of(predicate)
+    share = sum(selectivity(predicate, table.zones.get(p, {})) for p in table.paths) / max(len(table.paths), 1)
+    pushed = rows * (width(need) / SCAN_RATE + leaves(predicate) / FILTER_RATE + share * width(columns) / NETWORK_RATE) / 1e9
+    pulled = rows * width(need) / NETWORK_RATE / 1e9
+    if push_down_now(pushed, config.store.wait_seconds, pulled, config.store.fallbacks, config.store.max_pullups):
+        return pushed_down(spark, table, predicate, columns, config.zone_maps)
+    return pull_up(spark, table, predicate, columns)

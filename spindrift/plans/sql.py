@@ -6,6 +6,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spindrift.config import EngineConfig
+from spindrift.plans.engine import Engine
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 _PARTS = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|--[^\n]*|/\*.*?\*/|[^'\"\-/]+|.", re.S)
@@ -40,12 +43,15 @@ def tables_in(sql: str) -> tuple[str, ...]:
     return tuple(t for t in TABLES if t in words)
 
 
-def run_sql(spark: SparkSession, folder: str, sql: str) -> DataFrame:
-    """One SELECT over the tables of a folder. The plan is resolved now, against views that later calls may replace."""
+def run_sql(spark: SparkSession, folder: str, sql: str, config: EngineConfig | None = None) -> DataFrame:
+    """One SELECT over the tables of a folder, with options under these (see ``engine``), without them as Spark runs it. The
+    plan is resolved now, against views that later calls may replace."""
+    if config is not None:
+        return Engine(spark, folder, config).sql(sql)
     register(spark, folder, tables_in(sql))
     return spark.sql(normalise(sql))
 
 
-def run_file(spark: SparkSession, folder: str, path: str) -> DataFrame:
+def run_file(spark: SparkSession, folder: str, path: str, config: EngineConfig | None = None) -> DataFrame:
     with open(path, encoding="utf-8") as f:
-        return run_sql(spark, folder, f.read())
+        return run_sql(spark, folder, f.read(), config)

@@ -7,15 +7,18 @@ hash keys; all but the first may be missing. Statistics and zone maps can also b
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spindrift.functions.types import schema_of
+from spindrift.operators.pruning import value_order
 from spindrift.sources import files
 
 
@@ -30,9 +33,11 @@ class Table:
     column_bytes: dict[str, float] = field(default_factory=dict)
     zones: dict[str, dict[str, tuple[Any, Any]]] = field(default_factory=dict)
     hash_key: str | None = None
+    #: The folder that Hive partition columns (``column=value`` folders) are read from, if the table has such.
+    base: str | None = None
 
     def read(self, spark: SparkSession, paths: Sequence[str] | None = None) -> DataFrame:
-        return files.read(spark, self.form, self.paths if paths is None else paths, self.schema, self.delimiter)
+        return files.read(spark, self.form, self.paths if paths is None else paths, self.schema, self.delimiter, self.base)
 
 
 @dataclass
@@ -70,7 +75,7 @@ class Catalog:
         tables = {}
         for n in names:
             df = spark.read.parquet(f"{folder}/{n}.parquet")
-            tables[n] = Table(n, "parquet", sorted(df.inputFiles()), df.schema)
+            tables[n] = Table(n, "parquet", sorted(df.inputFiles()), df.schema, base=f"{folder}/{n}.parquet")
         return cls(tables)
 
     def __getitem__(self, name: str) -> Table:
@@ -96,9 +101,22 @@ def collect_zones(spark: SparkSession, table: Table, columns: Sequence[str]) ->
     the driver. A column of nulls has no zone. Zeros lose their sign."""
     zeros = {f.name for f in table.read(spark).schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
     value = {c: F.col(c) + F.lit(0.0) if c in zeros else F.col(c) for c in columns}
+    table.zones = {}
     found = table.read(spark).groupBy(F.input_file_name().alias("_path")).agg(*(f(value[c]).alias(f"{k}_{c}") for c in columns for k, f in (("min", F.min), ("max", F.max))))
-    by_name = {p.rsplit("/", 1)[-1]: p for p in table.paths}
+    partition = {_plain(p): p for p in table.paths}
     for r in found.collect():
-        zone = {c: (r[f"min_{c}"], r[f"max_{c}"]) for c in columns if r[f"min_{c}"] is not None}
-        table.zones[by_name[r._path.rsplit("/", 1)[-1]]] = zone
+        file = _plain(r._path)
+        while file and file not in partition:  # a partition may be a folder of files
+            file = file.rpartition("/")[0]
+        zone = table.zones.setdefault(partition[file], {})
+        for c in columns:
+            if r[f"min_{c}"] is not None:
+                pair = (r[f"min_{c}"], r[f"max_{c}"])
+                held = (*zone[c], *pair) if c in zone else pair
+                zone[c] = (min(held, key=value_order), max(held, key=value_order))
     return table.zones
+
+
+def _plain(uri: str) -> str:
+    """A path without scheme, host of local files, escapes and trailing slashes."""
+    return unquote(re.sub(r"^file:/+", "/", uri)).rstrip("/")

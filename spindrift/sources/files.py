@@ -17,14 +17,16 @@ def partition_paths(folder: str, table: str, form: str, n: int) -> list[str]:
     return [f"{folder}/{name}"] if n == 1 else [f"{folder}/{table}_sharded/{name}.{i}" for i in range(n)]
 
 
-def read(spark: SparkSession, form: str, paths: Sequence[str], schema: T.StructType | None = None, delimiter: str = "|") -> DataFrame:
-    """CSV files have a header row; compressed ones are recognised by their suffix. No paths give no rows."""
+def read(spark: SparkSession, form: str, paths: Sequence[str], schema: T.StructType | None = None, delimiter: str = "|", base: str | None = None) -> DataFrame:
+    """CSV files have a header row; compressed ones are recognised by their suffix. No paths give no rows. With ``base``, Parquet
+    files are read by the schema given, Hive partition columns below that folder included."""
     if not paths:
         if schema is None:
             raise ValueError("without paths a schema is needed")
         return spark.createDataFrame([], schema)
     if form == "parquet":
-        return spark.read.parquet(*paths)
+        reader = spark.read.option("basePath", base).schema(schema) if base and schema is not None else spark.read
+        return reader.parquet(*paths)
     if form != "csv":
         raise ValueError(f"unknown format {form!r}")
     reader = spark.read.options(header=True, sep=delimiter, mode="FAILFAST", enforceSchema=True)
@@ -36,8 +38,8 @@ def convert(spark: SparkSession, source: str, target: str, schema: T.StructType,
     read(spark, "csv", [source], schema, delimiter).write.option("compression", codec).option("parquet.block.size", row_group_bytes).mode("overwrite").parquet(target)
 
 
-def write_csv(df: DataFrame, target: str, delimiter: str = "|") -> None:
-    df.write.options(header=True, sep=delimiter, timestampFormat="yyyy-MM-dd HH:mm:ss.SSSSSS").mode("overwrite").csv(target)
+def write_csv(df: DataFrame, target: str, delimiter: str = "|", codec: str = "none") -> None:
+    df.write.options(header=True, compression=codec, sep=delimiter, timestampFormat="yyyy-MM-dd HH:mm:ss.SSSSSS").mode("overwrite").csv(target)
 
 
 def hash_partition(df: DataFrame, target: str, n: int, key: str | None = None) -> None:

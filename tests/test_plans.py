@@ -166,7 +166,7 @@ def test_co_location_and_adaptive_decision():
     edge = Edge("o", "l", ("ok",), ("lk",))
     assert co_located([edge], {"o": "ok", "l": "lk"}) == [edge] and co_located([edge], {"o": "ok"}) == []
     assert estimated_rows(edge, {"o": 10, "l": 40}, {"o": "ok", "l": "lk"}) == 20
-    assert modes.push_down_now(1, 0, 2, 0, 4) and not modes.push_down_now(1, 5, 2, 0, 4) and modes.push_down_now(1, 5, 2, 9, 4)
+    assert modes.push_down_now(1, 0, 2, 0, 4) and not modes.push_down_now(1, 5, 2, 4, 4) and not modes.push_down_now(1, 1, 2, 4, 4) and modes.push_down_now(1, 4.5, 2, 9, 4)
 
 
 def test_bucketed_join_needs_no_exchange(spark):
