@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from spindrift.plans.sql import run_sql
 from spindrift.sources import files
 from spindrift.sources.cache import SegmentCache
 from spindrift.sources.catalog import Catalog, collect_zones
-from spindrift.sources.policies import POLICIES
+from spindrift.sources.policies import POLICIES, Belady, SegmentKey
 from spindrift.sources.shared import scratch_path
 from spindrift.streaming import windows
 
@@ -159,6 +160,84 @@ def _bucketed_co_join_2(spark: SparkSession, folder: str) -> DataFrame:
     return run_sql(spark, path, SQL["co_join_2"])
 
 
+def _ops_joins(spark: SparkSession, folder: str) -> DataFrame:
+    """Every kind of hash join and a join by a predicate, as DataFrame operators."""
+    nation = R.project(_table(spark, folder, "nation"), ["n_nationkey", "n_name", "n_regionkey"])
+    rich = R.scan(_table(spark, folder, "supplier"), call("gt", col("s_acctbal"), lit(5000.0)), ["s_suppkey", "s_nationkey"])
+    out = []
+    for how in ("inner", "left", "right", "full", "left_semi", "right_semi", "left_anti"):
+        joined = R.hash_join(nation, rich, how, ["n_nationkey"], ["s_nationkey"])
+        one = R.aggregate(joined, {"n": ("count", None), "k": ("sum0", col("s_suppkey" if "s_suppkey" in joined.columns else "n_nationkey"))})
+        out.append(one.select(F.lit(how).alias("how"), F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k")))
+    region = _table(spark, folder, "region")
+    below = R.nested_loop_join(nation, region, "inner", call("lt", col("n_regionkey"), col("r_regionkey")))
+    out.append(R.aggregate(below, {"n": ("count", None), "k": ("sum0", col("r_regionkey"))}).select(F.lit("theta").alias("how"), F.col("n").cast("long").alias("n"), F.col("k").cast("long").alias("k")))
+    return reduce(DataFrame.unionByName, out)
+
+
+_JOINED = "SELECT '{how}' AS how, CAST(count(*) AS BIGINT) AS n, CAST(coalesce(sum({k}), 0) AS BIGINT) AS k FROM {source}"
+_RICH = "(SELECT s_suppkey, s_nationkey FROM supplier WHERE s_acctbal > 5000) s"
+_JOINS_SQL = " UNION ALL ".join(
+    [_JOINED.format(how=how, k="s_suppkey", source=f"nation {how} JOIN {_RICH} ON n_nationkey = s_nationkey") for how in ("inner", "left", "right", "full")]
+    + [_JOINED.format(how="left_semi", k="n_nationkey", source=f"nation WHERE n_nationkey IN (SELECT s_nationkey FROM {_RICH})")]
+    + [_JOINED.format(how="right_semi", k="s_suppkey", source=f"{_RICH} WHERE s_nationkey IN (SELECT n_nationkey FROM nation)")]
+    + [_JOINED.format(how="left_anti", k="n_nationkey", source=f"nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM {_RICH})")]
+    + [_JOINED.format(how="theta", k="r_regionkey", source="nation JOIN region ON n_regionkey < r_regionkey")]
+)
+
+
+def _ops_limit_sort(spark: SparkSession, folder: str) -> DataFrame:
+    return R.limit_sort(_table(spark, folder, "orders"), 15, [("o_totalprice", "DESC"), ("o_orderkey", "ASC")]).select("o_orderkey", "o_totalprice")
+
+
+def _ops_divide(spark: SparkSession, folder: str) -> DataFrame:
+    """Integers divide to integers, also where a double would lose digits; by zero to null."""
+    big = call("add", lit(9007199254740993), col("o_orderkey"))
+    zero = call("subtract", col("o_custkey"), col("o_custkey"))
+    return R.project(_table(spark, folder, "orders"), ["o_orderkey"], {"q": call("divide", big, col("o_custkey")), "z": call("divide", big, zero)})
+
+
+def _zonemap_nan(spark: SparkSession, folder: str) -> DataFrame:
+    """Zones of a column with NaN, which is above all numbers."""
+    path = scratch_path(spark, "nan")
+    lines = _table(spark, folder, "lineitem").select("l_orderkey", F.when(F.col("l_linenumber") == 1, F.lit(float("nan"))).otherwise(F.col("l_quantity")).alias("x"))
+    lines.repartitionByRange(8, "l_orderkey").write.parquet(f"{path}/lines.parquet")
+    table = Catalog.from_folder(spark, path, ["lines"])["lines"]
+    collect_zones(spark, table, ["x"])
+    return modes.pushed_down(spark, table, call("gt", col("x"), lit(49.0)), ["l_orderkey"]).groupBy().agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("s"))
+
+
+def _csv_gzip(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "nation-gz")
+    nation = _table(spark, folder, "nation")
+    files.write_csv(nation, f"{path}/nation", codec="gzip")
+    return files.read(spark, "csv", [f"{path}/nation"], nation.schema)
+
+
+def _stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    return windows.run_available(windows.sessions(windows.read_stream(spark, folder)), "sessions")
+
+
+def _belady_q06(spark: SparkSession, folder: str) -> DataFrame:
+    """The hybrid scan of q06 with a cache that knows the queries to come."""
+    table = Catalog.from_folder(spark, folder, ["lineitem"])["lineitem"]
+    coming = [{SegmentKey("lineitem", p, c) for p in table.paths for c in cs} for cs in (["l_discount", "l_quantity", "l_shipdate"], ["l_discount", "l_extendedprice", "l_quantity", "l_shipdate"], ["l_discount"])]
+    cache = SegmentCache(spark, Belady(1 << 30, coming))
+    cache.new_query()
+    modes.scan(spark, table, None, ["l_discount", "l_quantity", "l_shipdate"], EngineConfig(mode=Mode.CACHING_ONLY), cache)
+    cache.new_query()
+    return _q06(modes.scan(spark, table, Q6_PREDICATE, Q6_COLUMNS, EngineConfig(mode=Mode.HYBRID), cache))
+
+
+def _under(name: str, config: EngineConfig) -> tuple[Query, str]:
+    """A query's text under options."""
+    return (lambda spark, folder: run_sql(spark, folder, SQL[name], config)), SQL[name]
+
+
+BLOOM, YANNAKAKIS = EngineConfig(prefilter=Prefilter.BLOOM), EngineConfig(prefilter=Prefilter.SEMI, transfer_order=TransferOrder.BREADTH_FIRST)
+_TEXTS = [name for name in SQL if name[0] == "q" and name[1:3].isdigit()]
+
+
 def _ops_q01(spark: SparkSession, folder: str) -> DataFrame:
     lines = R.scan(_table(spark, folder, "lineitem"), call("le", col("l_shipdate"), call("subtract", lit("1998-12-01T00:00:00", "timestamp"), lit(90, "interval_day"))))
     grouped = R.group(
@@ -191,6 +270,25 @@ FEATURES: dict[str, tuple[Query, str]] = {
     "bitmap_store_q06": (_bitmap_q06(True), SQL["q06_forecast"]),
     "csv_roundtrip_q06": (_csv_q06, SQL["q06_forecast"]),
     "hash_partitioned_co_join_2": (_bucketed_co_join_2, SQL["co_join_2"]),
+    "mode_hybrid_lfu_q06": (_mode_q06(Mode.HYBRID, "lfu"), SQL["q06_forecast"]),
+    "mode_hybrid_lfus_q06": (_mode_q06(Mode.HYBRID, "lfu-s"), SQL["q06_forecast"]),
+    "mode_hybrid_belady_q06": (_belady_q06, SQL["q06_forecast"]),
+    "mode_adaptive_q06": (_mode_q06(Mode.ADAPTIVE), SQL["q06_forecast"]),
+    "zonemap_nan": (_zonemap_nan, "SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(l_orderkey) AS BIGINT) AS s FROM lineitem WHERE l_linenumber = 1 OR l_quantity > 49"),
+    "csv_gzip_scan": (_csv_gzip, "SELECT n_nationkey, n_name, n_regionkey FROM nation"),
+    "ops_api_joins": (_ops_joins, _JOINS_SQL),
+    "ops_api_limit_sort": (_ops_limit_sort, SQL["limit_sort"]),
+    "ops_api_divide": (_ops_divide, "SELECT o_orderkey, (9007199254740993 + o_orderkey) // nullif(o_custkey, 0) AS q, CAST(NULL AS BIGINT) AS z FROM orders"),
     "ops_api_q01": (_ops_q01, SQL["q01_pricing_summary"]),
     "stream_event_windows": (_stream_windows, "SELECT date_trunc('hour', ts) AS window_start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value) + 0.0000037, 2) AS total FROM events GROUP BY 1, 2"),
+    "stream_event_sessions": (
+        _stream_sessions,
+        """SELECT user_id, min(ts) AS session_start, CAST(count(*) AS BIGINT) AS n FROM (
+             SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS part FROM (
+               SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < interval '30' minute THEN 0 ELSE 1 END AS fresh FROM events) a) b GROUP BY user_id, part""",
+    ),
 }
+FEATURES |= {f"pt_sql_{name}": _under(name, BLOOM) for name in _TEXTS}
+FEATURES |= {f"yannakakis_sql_{name}": _under(name, YANNAKAKIS) for name in _TEXTS}
+FEATURES |= {f"bloom_join_sql_{name}": _under(name, EngineConfig(prefilter=Prefilter.JOIN)) for name in ("q03_shipping_priority", "q05_local_supplier", "q10_returned_item", "q21_exists_not_exists")}
+FEATURES |= {f"{mode.value}_sql_{name}": _under(name, EngineConfig(mode=mode)) for mode in Mode for name in ("q03_shipping_priority", "q05_local_supplier", "q06_forecast", "q10_returned_item")}

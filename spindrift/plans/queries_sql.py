@@ -139,6 +139,13 @@ WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0)
     "ssb_3_1": f"SELECT cn.n_name AS c_nation, sn.n_name AS s_nation, CAST(extract(year FROM o_orderdate) AS BIGINT) AS y, round(sum({REVENUE}) + 0.0000037, 2) AS revenue FROM supplier, lineitem, orders, customer, nation cn, nation sn, region cr, region sr WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND l_suppkey = s_suppkey AND c_nationkey = cn.n_nationkey AND s_nationkey = sn.n_nationkey AND cn.n_regionkey = cr.r_regionkey AND sn.n_regionkey = sr.r_regionkey AND cr.r_name = 'ASIA' AND sr.r_name = 'ASIA' AND o_orderdate < timestamp '1999-01-01' GROUP BY 1, 2, 3",
     "ssb_3_3": f"SELECT cn.n_name AS c_nation, sn.n_name AS s_nation, CAST(extract(year FROM o_orderdate) AS BIGINT) AS y, round(sum({REVENUE}) + 0.0000037, 2) AS revenue FROM supplier, lineitem, orders, customer, nation cn, nation sn WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND l_suppkey = s_suppkey AND c_nationkey = cn.n_nationkey AND s_nationkey = sn.n_nationkey AND (cn.n_name = 'NATION_3' OR cn.n_name = 'NATION_6') AND (sn.n_name = 'NATION_3' OR sn.n_name = 'NATION_6') GROUP BY 1, 2, 3",
     "ssb_4_1": f"SELECT CAST(extract(year FROM o_orderdate) AS BIGINT) AS y, cn.n_name AS c_nation, round(sum({REVENUE} - 0.4 * p_retailprice) + 0.0000037, 2) AS profit FROM supplier, lineitem, orders, customer, part, nation cn, nation sn, region cr, region sr WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND l_suppkey = s_suppkey AND l_partkey = p_partkey AND c_nationkey = cn.n_nationkey AND s_nationkey = sn.n_nationkey AND cn.n_regionkey = cr.r_regionkey AND sn.n_regionkey = sr.r_regionkey AND cr.r_name = 'AMERICA' AND sr.r_name = 'AMERICA' AND (p_type = 'PROMO' OR p_type = 'ECONOMY') GROUP BY 1, 2",
+    "ssb_1_3": "SELECT round(sum(l_extendedprice * l_discount) + 0.0000037, 2) AS revenue FROM lineitem, orders WHERE l_orderkey = o_orderkey AND extract(week FROM o_orderdate) = 6 AND extract(year FROM o_orderdate) = 1996 AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity BETWEEN 26 AND 35",
+    "ssb_2_3": f"SELECT round(sum({REVENUE}) + 0.0000037, 2) AS revenue, CAST(extract(year FROM o_orderdate) AS BIGINT) AS y, p_brand FROM supplier, lineitem, orders, part, nation, region WHERE l_orderkey = o_orderkey AND l_partkey = p_partkey AND l_suppkey = s_suppkey AND p_brand = 'Brand#12' AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'EUROPE' GROUP BY 2, p_brand",
+    "ssb_3_2": f"SELECT c_mktsegment, s_name, CAST(extract(year FROM o_orderdate) AS BIGINT) AS y, round(sum({REVENUE}) + 0.0000037, 2) AS revenue FROM supplier, lineitem, orders, customer, nation cn, nation sn WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND l_suppkey = s_suppkey AND c_nationkey = cn.n_nationkey AND s_nationkey = sn.n_nationkey AND cn.n_name = 'NATION_3' AND sn.n_name = 'NATION_7' AND o_orderdate >= timestamp '1996-01-01' AND o_orderdate < timestamp '2000-01-01' GROUP BY c_mktsegment, s_name, 3",
+    "ssb_3_4": f"SELECT cn.n_name AS c_nation, sn.n_name AS s_nation, CAST(extract(year FROM o_orderdate) AS BIGINT) AS y, round(sum({REVENUE}) + 0.0000037, 2) AS revenue FROM supplier, lineitem, orders, customer, nation cn, nation sn WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND l_suppkey = s_suppkey AND c_nationkey = cn.n_nationkey AND s_nationkey = sn.n_nationkey AND cn.n_name IN ('NATION_3', 'NATION_9') AND sn.n_name IN ('NATION_3', 'NATION_9') AND extract(year FROM o_orderdate) = 1997 AND extract(month FROM o_orderdate) = 12 GROUP BY cn.n_name, sn.n_name, 3",
+    "ssb_4_2": f"SELECT CAST(extract(year FROM o_orderdate) AS BIGINT) AS y, sn.n_name AS s_nation, p_type, round(sum({REVENUE} - 0.4 * p_retailprice) + 0.0000037, 2) AS profit FROM supplier, lineitem, orders, customer, part, nation cn, nation sn, region cr, region sr WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND l_suppkey = s_suppkey AND l_partkey = p_partkey AND c_nationkey = cn.n_nationkey AND s_nationkey = sn.n_nationkey AND cn.n_regionkey = cr.r_regionkey AND sn.n_regionkey = sr.r_regionkey AND cr.r_name = 'AMERICA' AND sr.r_name = 'AMERICA' AND extract(year FROM o_orderdate) IN (1997, 1998) AND (p_type = 'ECONOMY' OR p_type = 'PROMO') GROUP BY 1, sn.n_name, p_type",
+    "ssb_4_3": f"SELECT CAST(extract(year FROM o_orderdate) AS BIGINT) AS y, s_name, p_brand, round(sum({REVENUE} - 0.4 * p_retailprice) + 0.0000037, 2) AS profit FROM supplier, lineitem, orders, customer, part, nation sn WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND l_suppkey = s_suppkey AND l_partkey = p_partkey AND s_nationkey = sn.n_nationkey AND sn.n_name = 'NATION_5' AND extract(year FROM o_orderdate) IN (1997, 1998) AND p_type = 'STANDARD' GROUP BY 1, s_name, p_brand",
+    "limit_unordered": "SELECT CAST(count(*) AS BIGINT) AS n FROM (SELECT o_orderkey FROM orders WHERE o_totalprice > 1000 LIMIT 100) t",
     "set_union_all": "SELECT n_nationkey AS k FROM nation UNION ALL SELECT s_nationkey AS k FROM supplier",
     "set_intersect": "SELECT n_nationkey AS k FROM nation INTERSECT SELECT s_nationkey AS k FROM supplier",
     "set_except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 0",

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spindrift.sources.catalog import Table
 from spindrift.sources.policies import Policy, SegmentKey
@@ -57,7 +58,10 @@ class SegmentCache:
         return hit, miss
 
     def frame(self, table: Table, partition: str) -> DataFrame:
-        return self.frames[table.name, partition][1]
+        """The held columns. Spark's in-memory scan skips batches by bounds that leave NaN out, so floating columns come as
+        expressions, by which it doesn't."""
+        df = self.frames[table.name, partition][1]
+        return df.select(*(F.nanvl(f.name, f.name).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else f.name for f in df.schema))
 
     def size(self, table: Table, column: str) -> float:
         rows = (table.rows or 1_000_000) / max(len(table.paths), 1)

@@ -75,7 +75,9 @@ class Catalog:
         tables = {}
         for n in names:
             df = spark.read.parquet(f"{folder}/{n}.parquet")
-            tables[n] = Table(n, "parquet", sorted(df.inputFiles()), df.schema, base=f"{folder}/{n}.parquet")
+            root, paths = f"{folder}/{n}.parquet", sorted(df.inputFiles())
+            nested = any("=" in p[len(root) :] and "/" in p[len(root) :].strip("/") for p in map(plain_path, paths))
+            tables[n] = Table(n, "parquet", paths, df.schema, base=root if nested else None)
         return cls(tables)
 
     def __getitem__(self, name: str) -> Table:
@@ -103,9 +105,9 @@ def collect_zones(spark: SparkSession, table: Table, columns: Sequence[str]) ->
     value = {c: F.col(c) + F.lit(0.0) if c in zeros else F.col(c) for c in columns}
     table.zones = {}
     found = table.read(spark).groupBy(F.input_file_name().alias("_path")).agg(*(f(value[c]).alias(f"{k}_{c}") for c in columns for k, f in (("min", F.min), ("max", F.max))))
-    partition = {_plain(p): p for p in table.paths}
+    partition = {plain_path(p): p for p in table.paths}
     for r in found.collect():
-        file = _plain(r._path)
+        file = plain_path(r._path)
         while file and file not in partition:  # a partition may be a folder of files
             file = file.rpartition("/")[0]
         zone = table.zones.setdefault(partition[file], {})
@@ -117,6 +119,6 @@ def collect_zones(spark: SparkSession, table: Table, columns: Sequence[str]) ->
     return table.zones
 
 
-def _plain(uri: str) -> str:
+def plain_path(uri: str) -> str:
     """A path without scheme, host of local files, escapes and trailing slashes."""
     return unquote(re.sub(r"^file:/+", "/", uri)).rstrip("/")

@@ -10,7 +10,8 @@ from spindrift.operators import bloom
 from spindrift.operators.pruning import prune
 from spindrift.plans import features, metrics, modes, workload
 from spindrift.plans.joingraph import Edge, JoinGraph, co_located, estimated_rows
-from spindrift.plans.sql import normalise, tables_in
+from spindrift.plans.engine import Engine, places
+from spindrift.plans.sql import normalise, run_sql, tables_in
 from spindrift.sources import files
 from spindrift.sources.cache import SegmentCache
 from spindrift.sources.catalog import Catalog, collect_rows, collect_zones
@@ -206,3 +207,70 @@ def test_prompt(spark, tmp_path):
     cli.serve(spark, D, iter(["sql select r_name\n", "from region where r_regionkey = 1;\n", f"file {tmp_path}/q.sql;\n", "sql select broken from;\n", "what;\n", "quit\n", "sql select 1;\n"]), out)
     text = out.getvalue()
     assert "AMERICA" in text and "25" in text and text.count("error:") == 1 and "unknown command" in text and text.count(" s\n") == 2
+
+
+def test_prompt_with_options(spark):
+    folder, config = cli.options([D, "--mode", "hybrid", "--prefilter", "semi", "--cache-bytes", "1000000", "--no-zone-maps"])
+    assert folder == D and config == EngineConfig(mode=Mode.HYBRID, prefilter=Prefilter.SEMI, cache_bytes=1000000, zone_maps=False)
+    assert cli.options([D]) == (D, None)
+    out = io.StringIO()
+    cli.serve(spark, D, iter(["sql select r_name, count(*) as n from region, nation where r_regionkey = n_regionkey and r_name = 'ASIA' group by r_name;\n"] * 2), out, config)
+    assert out.getvalue().count("ASIA") == 2 and "error" not in out.getvalue()
+
+
+def test_zones_with_nan_agree_in_every_mode(spark, tmp_path):
+    nan = float("nan")
+    for i, values in enumerate(([1.0, 20.0, nan], [2.0, 3.0], [nan], [None, 4.0])):
+        spark.createDataFrame([(i, v) for v in values], "k int, x double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/t.parquet")
+    for predicate, n in ((call("gt", col("x"), lit(5.0)), 3), (call("le", col("x"), lit(3.0)), 3), (call("eq", col("x"), lit(nan)), 2), (call("ne", col("x"), lit(4.0)), 6), (call("in", col("x"), values=[4.0, 20.0]), 2), (call("lt", col("x"), lit(nan)), 5)):
+        for mode in Mode:
+            table = Catalog.from_folder(spark, str(tmp_path), ["t"])["t"]
+            collect_rows(spark, table)
+            collect_zones(spark, table, ["x"])
+            cache = SegmentCache(spark, LRU(1 << 30))
+            assert modes.scan(spark, table, predicate, ["k"], EngineConfig(mode=mode), cache).count() == n, (predicate, mode)
+            cache.clear()
+
+
+def test_equal_file_names_and_hive_columns(spark, tmp_path):
+    spark.range(80).selectExpr("id", "id % 8 as p", "id * 1.0D as x").repartition(1).write.partitionBy("p").parquet(f"{tmp_path}/t.parquet")
+    table = Catalog.from_folder(spark, str(tmp_path), ["t"])["t"]
+    names = {p.rsplit("/", 1)[1] for p in table.paths}
+    assert len(table.paths) == 8 and len(names) == 1
+    collect_rows(spark, table)
+    assert len(collect_zones(spark, table, ["x", "p"])) == 8
+    predicate = call("and", call("eq", col("p"), lit(3)), call("gt", col("x"), lit(40.0)))
+    assert len(prune(predicate, table.zones)) == 1
+    for mode in Mode:
+        rows = modes.scan(spark, table, predicate, ["id", "p"], EngineConfig(mode=mode), SegmentCache(spark, LRU(1 << 30))).collect()
+        assert sorted((r.id, r.p) for r in rows) == [(43, 3), (51, 3), (59, 3), (67, 3), (75, 3)], mode
+
+
+def test_places_of_tables_in_a_text():
+    pieces, names = places("select part.x, 'from orders' from part, orders o -- join part\n join nation as n on a = part.b where x in (select 1 from part) and orders = 2", {"part", "orders", "nation"})
+    assert names == ["part", "orders", "nation", "part"]
+    assert "".join(f"<{p}>" if isinstance(p, int) else p for p in pieces) == "select part.x, 'from orders' from <0> AS part, <1> o -- join part\n join <2> as n on a = part.b where x in (select 1 from <3> AS part) and orders = 2"
+
+
+def test_traced_joins(spark):
+    engine = Engine(spark, D, EngineConfig())
+    found = engine.trace(*places("select n_name, count(*) from customer, nation, region where c_nationkey = n_nationkey and n_regionkey = r_regionkey and r_name = 'ASIA' group by n_name", {"customer", "nation", "region"}))
+    assert {frozenset(e.left_keys + e.right_keys) for e in found.edges} == {frozenset({"c_nationkey", "n_nationkey"}), frozenset({"n_regionkey", "r_regionkey"})}
+    assert found.places[2].predicate is not None and not found.places[2].whole and found.places[0].whole
+    # a grouping key may be reduced, an aggregate may not
+    found = engine.trace(*places("select * from (select o_custkey as k, max(o_orderkey) as m from orders group by o_custkey) a, customer c, lineitem l where a.k = c.c_custkey and a.m = l.l_orderkey", {"orders", "customer", "lineitem"}))
+    assert [sorted(e.left_keys + e.right_keys) for e in found.edges] == [["c_custkey", "o_custkey"]]
+
+
+@pytest.mark.parametrize("config", [EngineConfig(prefilter=Prefilter.BLOOM), EngineConfig(prefilter=Prefilter.SEMI), EngineConfig(mode=Mode.HYBRID, cache_policy="w-lfu")])
+def test_options_keep_answers_of_odd_joins(spark, config):
+    engine = Engine(spark, D, config)
+    for text in (
+        "select count(*), count(s_suppkey) from nation left join (select * from supplier where s_acctbal > 5000) s on n_nationkey = s_nationkey and n_regionkey = 1",
+        "select count(*) from nation n left join supplier s on n.n_nationkey = s.s_nationkey left join customer c on s.s_nationkey = c.c_nationkey and c.c_acctbal > 9000",
+        "select count(*) from nation where not exists (select 1 from supplier, customer where s_nationkey = c_nationkey and s_nationkey = n_nationkey and c_acctbal > 9000)",
+        "with a as (select n_nationkey k, n_name from nation where n_regionkey < 3) select count(*) from a x, a y, supplier where x.k = s_nationkey and y.k = x.k + 1 and y.n_name like 'N%'",
+        "select count(*) from (select * from orders order by o_orderkey limit 50) o join customer on o_custkey = c_custkey and c_mktsegment = 'BUILDING'",
+        "select count(*) from (select c_custkey k from customer where c_acctbal > 0 union all select o_custkey from orders) u, customer c where u.k = c.c_custkey and c.c_acctbal < 100",
+    ):
+        assert engine.sql(text).collect() == run_sql(spark, D, text).collect(), text
