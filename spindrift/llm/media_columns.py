@@ -1,10 +1,11 @@
 """Media columns: payloads kept as images in archives, read back by a Spark data source of byte ranges.
 
 ``store`` writes each task's rows as members of one zip archive (members are 8-bit grey PNG images, lossless) in the shared
-folder, under a name of its own for each attempt, and returns the archives that finished. ``ArchiveSource`` plans
-partitions as byte ranges of archives; a range owns the members whose headers start in it. It streams members in Arrow
-batches of bounded size, and reads each again by its offset if reading fails, without touching the others. File access goes
-through pyarrow's file systems, so the shared folder may be local, HDFS or an object store.
+folder, under a name of its own for each attempt, and a manifest of the archives that finished: their byte ranges, each with
+the directory of its members. ``ArchiveSource`` plans a partition for each range, from the manifest or, for archives without
+one, from their sizes; a range owns the members whose headers start in it. It streams members in Arrow batches of bounded
+size, and reads each again by its offset if reading fails, without touching the others. File access goes through pyarrow's
+file systems, so the shared folder may be local, HDFS or an object store.
 
 Defined cases: a null text is an empty one; a payload is never empty (64 bytes of 0 at least); equal texts give equal
 images; a null id stays null; repeated rows are members each; an empty table gives no rows; a member that can't be read or
@@ -26,13 +27,14 @@ from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from spindrift.llm.storage import discard, fresh_path, materialize, type_of
+from spindrift.llm.storage import fresh_path, type_of
 
 WIDTH = 64
 RANGE_BYTES, BATCH_BYTES, ATTEMPTS = 16 << 20, 4 << 20, 3
@@ -97,8 +99,10 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def store(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
-    """Writes the images of all rows and returns the archives: path and bytes, one for each task that had rows."""
+def store(df: DataFrame, *, key: str = "doc_id", text: str = "text", range_bytes: int = RANGE_BYTES) -> str:
+    """Writes the images of all rows, one archive for each task that had rows, and returns the manifest's path: a Parquet table
+    with a row for each byte range of about ``range_bytes`` and the directory of the members that begin in it. Archives of
+    attempts that didn't finish are removed."""
     folder = fresh_path(df.sparkSession, "media")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,24 +121,44 @@ def store(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> list[tup
                 archive.writestr(zipfile.ZipInfo(f"{n:08d}{'' if doc_id is None else '.' + quote(str(doc_id), safe='')}.png"), png(payload, n_bytes))
                 n += 1
         if archive is not None:
+            members = [(m.header_offset, m.filename, m.file_size, m.CRC) for m in archive.infolist()]
             archive.close()
-            size = sink.tell()
             sink.close()
-            yield pa.RecordBatch.from_pydict({"path": [name], "size": [size]}, schema=pa.schema([("path", pa.string()), ("size", pa.int64())]))
+            begun = 0
+            for i in range(1, len(members) + 1):
+                if i == len(members) or members[i][0] - members[begun][0] >= range_bytes:
+                    yield pa.RecordBatch.from_pylist([{"path": name, "start": members[begun][0], "members": [dict(zip(_DIRECTORY, m, strict=True)) for m in members[begun:i]]}], schema=_MANIFEST)
+                    begun = i
 
-    done = materialize(df.select(F.col(key).cast("string"), F.col(text).cast("string")).mapInArrow(written, "path string, size long"), "archives")
-    return sorted((r.path, r.size) for r in done.collect())
+    manifest = fresh_path(df.sparkSession, "manifest")
+    rows = df.select(F.col(key).cast("string"), F.col(text).cast("string")).mapInArrow(written, "path string, start long, members array<struct<offset: long, name: string, size: long, crc: long>>")
+    rows.write.parquet(manifest)
+    where, path = _open(folder)
+    if where.get_file_info(path).type != fs.FileType.NotFound:
+        kept = {r.path.rsplit("/", 1)[1] for r in df.sparkSession.read.parquet(manifest).select("path").distinct().toLocalIterator()}
+        for info in where.get_file_info(fs.FileSelector(path)):
+            if info.base_name not in kept:
+                where.delete_file(info.path)
+    return manifest
+
+
+_DIRECTORY = ("offset", "name", "size", "crc")
+_MANIFEST = pa.schema([("path", pa.string()), ("start", pa.int64()), ("members", pa.list_(pa.struct([("offset", pa.int64()), ("name", pa.string()), ("size", pa.int64()), ("crc", pa.int64())])))])
 
 
 @dataclass
 class ByteRange(InputPartition):
+    """Members of an archive from one offset on, up to another; ``manifest``: the file that lists them, if there is one."""
+
     path: str
     start: int
     end: int
+    manifest: str | None = None
 
 
 class ArchiveSource(DataSource):
-    """Options: archives (a list of [path, bytes] as JSON), on_error (fail or row), range_bytes."""
+    """Options: manifest (the path of ``store``'s table) or archives (a list of [path, bytes] as JSON), on_error (fail or row),
+    range_bytes (for archives)."""
 
     @classmethod
     def name(cls) -> str:
@@ -152,20 +176,36 @@ _MEMBERS = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("name", pa
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options) -> None:
-        self.archives = json.loads(options["archives"])
+        self.manifest, self.archives = options.get("manifest"), json.loads(options.get("archives", "[]"))
         self.fail = options.get("on_error", "fail") == "fail"
         self.range_bytes = int(options.get("range_bytes", RANGE_BYTES))
 
     def partitions(self) -> list[ByteRange]:
         found = [ByteRange(path, at, min(at + self.range_bytes, size)) for path, size in self.archives for at in range(0, size, self.range_bytes)]
+        if self.manifest:
+            where, path = _open(self.manifest)
+            for info in where.get_file_info(fs.FileSelector(path)):
+                if info.base_name.endswith(".parquet"):
+                    with where.open_input_file(info.path) as file:  # the members themselves stay unread
+                        for r in pq.read_table(file, columns=["path", "start"]).to_pylist():
+                            found.append(ByteRange(r["path"], r["start"], 0, info.path))
         return found or [ByteRange("", 0, 0)]
 
+    def _directory(self, partition: ByteRange) -> list[tuple[int, str, int, int]]:
+        if partition.manifest:
+            where, _ = _open(self.manifest)
+            with where.open_input_file(partition.manifest) as file:
+                (row,) = pq.read_table(file, filters=[("path", "=", partition.path), ("start", "=", partition.start)]).to_pylist()
+            return [tuple(m[k] for k in _DIRECTORY) for m in row["members"]]
+        where, path = _open(partition.path)
+        with where.open_input_file(path) as file, zipfile.ZipFile(file) as archive:
+            return [(m.header_offset, m.filename, m.file_size, m.CRC) for m in archive.infolist() if partition.start <= m.header_offset < partition.end]
+
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
+        mine = self._directory(partition)
         where, path = _open(partition.path)
-        with where.open_input_file(path) as file, zipfile.ZipFile(file) as archive:
-            mine = [(m.header_offset, m.filename, m.file_size, m.CRC) for m in archive.infolist() if partition.start <= m.header_offset < partition.end]
         rows, held = [], 0
         for offset, name, size, crc in mine:
             data, error = self._member(where, path, offset, size, crc)
@@ -203,9 +243,9 @@ _OUT = pa.schema([("doc_id", pa.string()), ("n_bytes", pa.int64()), ("payload_by
 
 def media_columns(spark: SparkSession, df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Stores all rows' payloads and returns what reading the stored bytes gives, a row per document."""
-    archives = store(df, key=key, text=text)
+    manifest = store(df, key=key, text=text)
     spark.dataSource.register(ArchiveSource)
-    members = spark.read.format("member_archive").option("archives", json.dumps(archives)).load()
+    members = spark.read.format("member_archive").option("manifest", manifest).load()
 
     def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import os
 import zlib
 
 import pytest
@@ -36,18 +37,40 @@ def test_odd_rows(spark):
     assert M.media_columns(spark, df.limit(0)).count() == 0
 
 
-def test_ranges_own_each_member_once_and_failures_stay_apart(spark):
+@pytest.mark.parametrize("planned", ["manifest", "archives"])
+def test_ranges_own_each_member_once_and_failures_stay_apart(spark, planned):
     df = spark.createDataFrame([(i, f"text {i} " * (i % 40)) for i in range(200)], "doc_id long, text string").coalesce(2)
-    archives = M.store(df)
-    path, size = archives[0]
-    with open(path.removeprefix("file://"), "r+b") as f:
-        f.seek(size // 2)
+    manifest = M.store(df, range_bytes=2000)
+    listed = spark.read.parquet(manifest).collect()
+    paths = sorted({r.path for r in listed})
+    assert len(listed) > 10 and sum(len(r.members) for r in listed) == 200
+    archives = [[p, os.path.getsize(p.removeprefix("file://"))] for p in paths]
+    with open(paths[0].removeprefix("file://"), "r+b") as f:
+        f.seek(archives[0][1] // 2)
         f.write(b"\xff" * 4)
     spark.dataSource.register(M.ArchiveSource)
-    load = lambda **o: spark.read.format("member_archive").options(archives=json.dumps(archives), range_bytes=500, **o).load()
+    found = {"manifest": manifest} if planned == "manifest" else {"archives": json.dumps(archives), "range_bytes": 500}
+    load = lambda **o: spark.read.format("member_archive").options(**found, **o).load()
     rows = load(on_error="row").collect()
     assert len(rows) == 200 == len({(r.path, r.offset) for r in rows})
     bad = [r for r in rows if r.error]
     assert len(bad) == 1 and bad[0].data is None
     with pytest.raises(Exception, match="differs"):
         load().collect()
+
+
+def test_keys_of_text_and_archives_of_failed_attempts(spark, monkeypatch):
+    fresh = M.fresh_path
+
+    def with_a_leftover(session, name):
+        path = fresh(session, name)
+        if name == "media":
+            os.makedirs(path.removeprefix("file://"))
+            open(f"{path.removeprefix('file://')}/000000-left.zip", "w").close()
+        return path
+
+    monkeypatch.setattr(M, "fresh_path", with_a_leftover)
+    df = spark.createDataFrame([("a/b.c d%", "x"), ("", "y"), (None, "z")], "doc_id string, text string").coalesce(1)
+    assert {r.doc_id for r in M.media_columns(spark, df).collect()} == {"a/b.c d%", "", None}
+    (path,) = {r.path for r in spark.read.parquet(M.store(df)).collect()}
+    assert os.listdir(os.path.dirname(path.removeprefix("file://"))) == [os.path.basename(path)]
