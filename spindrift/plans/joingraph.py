@@ -120,10 +120,10 @@ class JoinGraph:
                 if not exact and self.rows[source] > config.bloom_max_rows:
                     continue
                 a, b = reduced[source], reduced[target]
-                if sum(source in (x.left, x.right) for x in self.edges) > 1:
+                if exact or sum(source in (x.left, x.right) for x in self.edges) > 1:
                     a = sent[source] = sent[source] if source in sent else self._sent(source, a)
                 if exact:
-                    keys = _written(a.select(*(a[k].alias(f"_k{i}") for i, k in enumerate(e.keys(source)))).distinct(), "keys")
+                    keys = a.select(*(a[k].alias(f"_k{i}") for i, k in enumerate(e.keys(source))))
                     reduced[target] = b.join(keys, [b[k] == keys[f"_k{i}"] for i, k in enumerate(e.keys(target))], "left_semi")
                 else:
                     bloom = _written(build(a, e.keys(source), self.rows[source], config.bloom_rate), "bloom")
