@@ -20,7 +20,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.storage import materialize
+from spindrift.llm.storage import free_names, materialize
 
 WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
 #: Bits of the table for each window, and in all; with more windows than fit, more of a document's go to the join.
@@ -125,25 +125,27 @@ def leak_report(documents: DataFrame, benchmark: DataFrame, *, key: str = "doc_i
 def remove_documents(documents: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``documents`` without those that hold a window of the benchmark; all columns stay. Texts are not shuffled unless there
     are more than ``MAX_BROADCAST_ROWS`` of those."""
-    bad = find_leaks(documents, benchmark, key=key, text=text, **options).where("n_hit > 0").select(F.col(key).alias("_bad_key"), F.col("text_hash").alias("_bad_hash")).distinct()
+    k, h = free_names(documents, "_bad_key", "_bad_hash")
+    bad = find_leaks(documents, benchmark, key=key, text=text, **options).where("n_hit > 0").select(F.col(key).alias(k), F.col("text_hash").alias(h)).distinct()
     bad = materialize(bad, "contaminated")
     if bad.count() <= MAX_BROADCAST_ROWS:
         bad = F.broadcast(bad)
-    return documents.join(bad, F.col(key).eqNullSafe(F.col("_bad_key")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_bad_hash")), "left_anti")
+    return documents.join(bad, F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(F.col(text).cast("string")) == F.col(h)), "left_anti")
 
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", mark: str = " ", **options) -> DataFrame:
     """``documents`` with each run of hit words, from its first to its last word, replaced by ``mark``. Every
     other character stays as it is."""
-    bad = find_leaks(documents, benchmark, key=key, text=text, **options).where("n_hit > 0").select(F.col(key).alias("_bad_key"), F.col("text_hash").alias("_bad_hash"), "spans").dropDuplicates(["_bad_key", "_bad_hash"])
-    joined = documents.join(bad, F.col(key).eqNullSafe(F.col("_bad_key")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_bad_hash")), "left")
+    k, h, spans = free_names(documents, "_bad_key", "_bad_hash", "_bad_spans")
+    bad = find_leaks(documents, benchmark, key=key, text=text, **options).where("n_hit > 0").select(F.col(key).alias(k), F.col("text_hash").alias(h), F.col("spans").alias(spans)).dropDuplicates([k, h])
+    joined = documents.join(bad, F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(F.col(text).cast("string")) == F.col(h)), "left")
     any_word = F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)")
     # what stands before each word: gaps has one entry more than there are words
     gaps, found = F.split(F.col(text), any_word), F.regexp_extract_all(F.col(text), any_word, 1)
     kept = F.zip_with(gaps, F.concat(found, F.array(F.lit(""))), lambda g, w: F.named_struct(F.lit("g"), g, F.lit("w"), w))
 
     def hit(i: Column) -> Column:
-        return F.exists("spans", lambda s: (s["s"] <= i) & (i < s["e"]))
+        return F.exists(spans, lambda s: (s["s"] <= i) & (i < s["e"]))
 
     put = F.transform(kept, lambda x, i: F.when(~hit(i), F.concat(x["g"], x["w"])).when(hit(i - 1), F.lit("")).otherwise(F.concat(x["g"], F.lit(mark))))
-    return joined.withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(F.array_join(put, ""))).select(*documents.columns)
+    return joined.withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(F.array_join(put, ""))).select(*documents.columns)

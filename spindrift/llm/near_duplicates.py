@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.components import connected_components
 from spindrift.llm.dart_minhash import U, bands, shingles, signature, texts_of
-from spindrift.llm.storage import discard, materialize, type_of
+from spindrift.llm.storage import discard, free_names, materialize, type_of
 from spindrift.llm.worker import turn
 
 SIMILARITY = 0.8
@@ -234,14 +234,15 @@ def keep_first(df: DataFrame, *, key: str = "doc_id", text: str = "text", **opti
     string = F.col(text).cast("string")
     found = near_duplicate_classes(df, key=key, text=text, **options)
     # every null text is the first of its class
-    keys = found.groupBy(F.col("id").alias("_id"), F.coalesce("h1", F.lit(0)).alias("_h1"), F.coalesce("h2", F.lit(0)).alias("_h2")).agg(F.max("first").alias("_first"), F.count("h1").alias("_rows"))
+    ids = free_names(df, "_id", "_h1", "_h2")
+    keys = found.groupBy(F.col("id").alias(ids[0]), F.coalesce("h1", F.lit(0)).alias(ids[1]), F.coalesce("h2", F.lit(0)).alias(ids[2])).agg(F.max("first").alias("_first"), F.count("h1").alias("_rows"))
     keys = materialize(keys.where("not _first or _rows > 1"), "dropped")
     discard(found)
     size = (lambda x: F.broadcast(x)) if keys.count() <= MAX_BROADCAST_ROWS else (lambda x: x)
     h1, h2 = F.coalesce(F.when(string.isNotNull(), F.xxhash64(string)), F.lit(0)), F.coalesce(F.when(string.isNotNull(), F.xxhash64(F.lit(1), string)), F.lit(0))
-    same = F.col(key).eqNullSafe(F.col("_id")) & (h1 == F.col("_h1")) & (h2 == F.col("_h2"))
-    once = df.join(size(keys), same, "left_anti")
-    again = df.join(size(keys.where("_first")), same, "left_semi")
+    same = F.col(key).eqNullSafe(F.col(ids[0])) & (h1 == F.col(ids[1])) & (h2 == F.col(ids[2]))
+    once = df.join(size(keys.select(*ids)), same, "left_anti")
+    again = df.join(size(keys.where("_first").select(*ids)), same, "left_semi")
     order = F.struct(*(F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()))
-    again = again.groupBy(F.col(key).alias("_id"), F.xxhash64(string).alias("_h1"), F.xxhash64(F.lit(1), string).alias("_h2")).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), order).alias("_row"))
+    again = again.groupBy(F.col(key).alias(ids[0]), F.xxhash64(string).alias(ids[1]), F.xxhash64(F.lit(1), string).alias(ids[2])).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), order).alias("_row"))
     return once.unionByName(again.select("_row.*"))

@@ -40,3 +40,32 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_run_gives_packed_rows(spark):
     rows = corpus_pipeline.run(spark, D).collect()
     assert rows and {"doc_id", "start", "length", "sequence_id", "offset"} <= set(rows[0].asDict())
+
+
+def test_odd_rows_through_every_stage(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, columns of clashing names, an empty table."""
+    good = spark.read.parquet(f"{D}/documents.parquet").limit(60)
+    names = ["node", "band", "_key", "_hash", "w", "s", "h", "k", "t", "y", "score", "_id", "_first", "c", "rid"]
+    odd = [(None, None), (None, "no id here at all"), (9001, None), (9001, None), (9002, ""), (9003, ""), (9004, "long text " * 60_000), (9005, "same row"), (9005, "same row"), (9006, "\x00 \n\t"), (9007, "日本語 ²½")]
+    odd = spark.createDataFrame([(i, t, None, None, None) for i, t in odd], good.schema)
+    docs = good.unionByName(odd)
+    for j, n in enumerate(names):
+        docs = docs.withColumn(n, corpus_pipeline.F.lit(None if j % 3 == 0 else j).cast("long"))
+    columns, ids = docs.columns, {r.doc_id for r in docs.collect()}
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        empty = stage(spark, docs.limit(0), D)
+        assert empty.count() == 0
+        out = stage(spark, docs, D)
+        out.write.parquet(str(tmp_path / str(i)))
+        rows = spark.read.parquet(str(tmp_path / str(i))).collect()
+        assert {r.doc_id for r in rows} <= ids, name
+        if i == 4:
+            assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}
+            break
+        assert out.columns == empty.columns == columns, name
+        assert all(r.k == 7 and r.w == 4 and r.node is None for r in rows), name
+        if i == 2:
+            kept = [(r.doc_id, r.text) for r in rows if r.doc_id is None or r.doc_id > 9000]
+            before = {(r.doc_id, r.text) for r in docs.collect()}
+            assert len(kept) == len(set(kept)) + ((9001, None) in before) and sum(t == "" for _, t in kept) <= 1
+        docs = spark.read.parquet(str(tmp_path / str(i)))
