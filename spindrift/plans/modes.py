@@ -3,8 +3,9 @@
 * pull-up: whole partitions are read and filtered afterwards (nothing reaches the reader but the columns);
 * pushdown: zone maps choose partitions, each with what is left of the predicate, and filters reach the reader;
 * caching: every column comes through the segment cache, missing ones are fetched and offered to it;
-* hybrid: for each partition, held columns are used if they cover the predicate and at least one projected column (what
-  is missing is fetched and stitched by row number), else the scan is pushed down; missing segments are offered to the cache;
+* hybrid: missing segments are offered to the cache; then, for each partition, held columns are used if they cover the
+  predicate and at least one projected column (what is missing is fetched and stitched by row number), else the scan is
+  pushed down. So what a query brings to the cache isn't read twice;
 * adaptive: pushed down or pulled up, by estimated costs and the store's load.
 """
 
@@ -22,7 +23,7 @@ from spindrift.config import EngineConfig, Mode
 from spindrift.functions.expressions import Node, columns_of, leaves, to_column, typed
 from spindrift.operators.pruning import prune, selectivity
 from spindrift.sources import files
-from spindrift.sources.cache import ROW, SegmentCache, with_rows
+from spindrift.sources.cache import FILE, ROW, Block, SegmentCache, with_rows
 from spindrift.sources.catalog import Table
 from spindrift.sources.policies import FILTER_RATE, NETWORK_RATE, SCAN_RATE, SegmentKey, pushdown_weight
 
@@ -53,47 +54,51 @@ def pushed_down(spark: SparkSession, table: Table, predicate: Node | None, colum
 
 def cached(spark: SparkSession, table: Table, predicate: Node | None, columns: Sequence[str], cache: SegmentCache) -> DataFrame:
     need = {*columns} | columns_of(predicate)
-    parts = []
-    for p in table.paths:
-        hit, miss = cache.lookup(table, p, need)
-        if miss:
-            cache.store(table, p, miss)
-            held = cache.frames.get((table.name, p), (frozenset(), None))[0]
-            hit = need & held
-        rest = need - hit
-        df = _stitched(spark, table, p, hit, rest, None, cache)
-        parts.append((df if predicate is None else df.where(to_column(typed(predicate, df)))).select(*columns))
-    return _union(parts, files.read(spark, table.form, [], table.schema).select(*columns))
+    missing = {p: miss for p in table.paths if (miss := cache.lookup(table, p, need)[1])}
+    cache.store(table, missing)
+    parts = _from_cache(spark, table, dict.fromkeys(table.paths, predicate), need, cache)
+    return _union((df.select(*columns) for df in parts), files.read(spark, table.form, [], table.schema).select(*columns))
+
+
+def _from_cache(spark: SparkSession, table: Table, kept: dict[str, Node | None], need: set[str], cache: SegmentCache) -> list[DataFrame]:
+    """The columns of partitions, each filtered by its predicate. Partitions with the same predicate and the same blocks are
+    one scan of the cache, to which what isn't held is joined by file and row number, after the filter where that can be."""
+    by: dict[tuple, tuple[dict[str, Block], Node | None, list[str]]] = {}
+    for p, predicate in kept.items():
+        held = cache.blocks(table, p, need)
+        by.setdefault((frozenset(held.items()), repr(predicate)), (held, predicate, []))[2].append(p)
+
+    def scan_of(held: dict[str, Block], predicate: Node | None, partitions: list[str]) -> DataFrame:
+        def where(df: DataFrame) -> DataFrame:
+            return df if predicate is None else df.where(to_column(typed(predicate, df)))
 
+        rest = need - set(held)
+        if not held:
+            return where(with_rows(spark, table, partitions, rest))
+        df = cache.frame(partitions, held)
+        if not rest:
+            return where(df)
+        fetched = with_rows(spark, table, partitions, rest)
+        return where(df).join(fetched, [FILE, ROW]) if columns_of(predicate) <= set(held) else where(df.join(fetched, [FILE, ROW]))
 
-def _stitched(spark: SparkSession, table: Table, partition: str, hit: set[str], rest: set[str], predicate: Node | None, cache: SegmentCache) -> DataFrame:
-    """Held columns, filtered by a predicate over them, with the rest joined by row number."""
-    if not hit:
-        df = with_rows(spark, table, partition, rest)
-        return df if predicate is None else df.where(to_column(typed(predicate, df)))
-    df = cache.frame(table, partition).select(ROW, *sorted(hit))
-    df = df if predicate is None else df.where(to_column(typed(predicate, df)))
-    return df.join(with_rows(spark, table, partition, rest), ROW) if rest else df
+    return [scan_of(*group) for group in by.values()]
 
 
 def hybrid(spark: SparkSession, table: Table, predicate: Node | None, columns: Sequence[str], cache: SegmentCache, zone_maps: bool = True) -> DataFrame:
     need, tests = {*columns} | columns_of(predicate), columns_of(predicate)
     kept = prune(predicate, {p: table.zones.get(p, {}) for p in table.paths}) if zone_maps else dict.fromkeys(table.paths, predicate)
-    parts, pushed = [], []
-    for p, rest in kept.items():
-        hit, miss = cache.lookup(table, p, need)
-        if tests <= hit and hit & {*columns}:
-            parts.append(_stitched(spark, table, p, hit, miss, rest, cache).select(*columns))
-        else:
-            pushed.append(p)
-        if miss:
-            row = sum(table.column_bytes.values()) or 8.0 * len(need)
-            for c in miss:
-                cache.policy.on_weight(SegmentKey(table.name, p, c), pushdown_weight(selectivity(predicate, table.zones.get(p, {})), row, table.column_bytes.get(c, 8.0), leaves(predicate), len(miss)))
-            cache.store(table, p, miss)
-    if pushed:
-        few = replace(table, paths=pushed)
-        parts.append(pushed_down(spark, few, predicate, columns, zone_maps))
+    missing = {p: miss for p in kept if (miss := cache.lookup(table, p, need)[1])}
+    row = sum(table.column_bytes.values()) or 8.0 * len(need)
+    for p, miss in missing.items():
+        share = selectivity(predicate, table.zones.get(p, {}))
+        for c in miss:
+            cache.policy.on_weight(SegmentKey(table.name, p, c), pushdown_weight(share, row, table.column_bytes.get(c, 8.0), leaves(predicate), len(miss)))
+    cache.store(table, missing)
+    usable = {p: set(cache.blocks(table, p, need)) for p in kept}
+    usable = {p for p, hit in usable.items() if tests <= hit and hit & {*columns}}
+    parts = [df.select(*columns) for df in _from_cache(spark, table, {p: rest for p, rest in kept.items() if p in usable}, need, cache)]
+    if pushed := [p for p in kept if p not in usable]:
+        parts.append(pushed_down(spark, replace(table, paths=pushed), predicate, columns, zone_maps))
     return _union(parts, files.read(spark, table.form, [], table.schema).select(*columns))
 
 
@@ -114,13 +119,13 @@ def scan(spark: SparkSession, table: Table, predicate: Node | None, columns: Seq
 def filter_bitmap(spark: SparkSession, table: Table, predicate: Node) -> DataFrame:
     """The rows (file, row number) that satisfy a predicate, as a side that evaluated it would send them."""
     df = (lambda d: d.where(to_column(typed(predicate, d))))(table.read(spark))
-    return df.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias(ROW))
+    return df.select(F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
 
 
 def scan_by_bitmap(spark: SparkSession, table: Table, bitmap: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns of the rows in a bitmap, without reading the predicate's own columns."""
-    df = table.read(spark).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias(ROW), *columns)
-    return df.join(bitmap, ["_file", ROW], "left_semi").select(*columns)
+    df = table.read(spark).select(F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW), *columns)
+    return df.join(bitmap, [FILE, ROW], "left_semi").select(*columns)
 
 
 def push_down_now(pushdown_seconds: float, wait_seconds: float, pullup_seconds: float, fallbacks: int, max_pullups: int) -> bool:

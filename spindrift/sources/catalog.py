@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 from urllib.parse import unquote
@@ -105,12 +105,9 @@ def collect_zones(spark: SparkSession, table: Table, columns: Sequence[str]) ->
     value = {c: F.col(c) + F.lit(0.0) if c in zeros else F.col(c) for c in columns}
     table.zones = {}
     found = table.read(spark).groupBy(F.input_file_name().alias("_path")).agg(*(f(value[c]).alias(f"{k}_{c}") for c in columns for k, f in (("min", F.min), ("max", F.max))))
-    partition = {plain_path(p): p for p in table.paths}
+    find = partition_of(table.paths)
     for r in found.collect():
-        file = plain_path(r._path)
-        while file and file not in partition:  # a partition may be a folder of files
-            file = file.rpartition("/")[0]
-        zone = table.zones.setdefault(partition[file], {})
+        zone = table.zones.setdefault(find(r._path), {})
         for c in columns:
             if r[f"min_{c}"] is not None:
                 pair = (r[f"min_{c}"], r[f"max_{c}"])
@@ -119,6 +116,19 @@ def collect_zones(spark: SparkSession, table: Table, columns: Sequence[str]) ->
     return table.zones
 
 
+def partition_of(paths: Sequence[str]) -> Callable[[str], str]:
+    """Which of the partitions a file belongs to."""
+    partition = {plain_path(p): p for p in paths}
+
+    def find(uri: str) -> str:
+        file = plain_path(uri)
+        while file and file not in partition:  # a partition may be a folder of files
+            file = file.rpartition("/")[0]
+        return partition[file]
+
+    return find
+
+
 def plain_path(uri: str) -> str:
     """A path without scheme, host of local files, escapes and trailing slashes."""
     return unquote(re.sub(r"^file:/+", "/", uri)).rstrip("/")

@@ -14,7 +14,7 @@ from spindrift.plans.engine import Engine, places
 from spindrift.plans.sql import normalise, run_sql, tables_in
 from spindrift.sources import files
 from spindrift.sources.cache import SegmentCache
-from spindrift.sources.catalog import Catalog, collect_rows, collect_zones
+from spindrift.sources.catalog import Catalog, Table, collect_rows, collect_zones
 from spindrift.sources.policies import LFU, LRU, Belady, LFUSize, SegmentKey, WeightedLFU, pushdown_weight
 
 D = "/root/testdata/sf0.001"
@@ -89,6 +89,51 @@ def test_small_cache_evicts_and_agrees(spark, lines):
     cache.clear()
 
 
+def test_blocks_of_many_partitions(spark, lines):
+    read = lambda cache, columns, predicate=None: sorted(map(tuple, modes.cached(spark, lines, predicate, columns, cache).collect()))
+    cache = SegmentCache(spark, LRU(1 << 30))
+    one, three = ["l_tax"], ["l_orderkey", "l_suppkey", "l_tax"]
+    assert read(cache, one) == sorted(map(tuple, lines.read(spark).select(*one).collect()))
+    assert len(set(cache.frames.values())) == 1 and len(cache.frames) == len(lines.paths) > 2
+    assert read(cache, three) == sorted(map(tuple, lines.read(spark).select(*three).collect()))
+    # one block for each set of columns that came, and one scan for all partitions
+    assert len(set(cache.frames.values())) == 2
+    plan = modes.cached(spark, lines, None, three, cache)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("InMemoryRelation") == 2 and "Union" not in plan
+    cache.clear()
+    # evicted partitions leave a block; it is rewritten once half of it is gone, and goes with its last segment
+    cache = SegmentCache(spark, LRU(len(lines.paths) * cache.size(lines, "l_tax")))
+    read(cache, one)
+    block = next(iter(cache.frames.values()))
+    before = block.size
+    for n, path in enumerate(lines.paths, 1):
+        cache.store(lines, {path: ["l_discount"]})
+        assert sum(k.column == "l_tax" for k in cache.frames) == len(lines.paths) - n
+        assert block.size == before or 2 * block.size <= before
+        assert read(_frozen_view(cache), one) == sorted(map(tuple, lines.read(spark).select(*one).collect()))
+    assert block not in cache.frames.values() and not block.frame.is_cached
+    cache.clear()
+
+
+def test_cached_partitions_may_be_folders(spark, tmp_path):
+    for i in range(2):
+        spark.range(i * 100, i * 100 + 60).withColumn("x", F.col("id") * 2).repartition(3).write.parquet(f"{tmp_path}/a b/t.{i}")
+    table = Table("t", "parquet", [f"{tmp_path}/a b/t.{i}" for i in range(2)], spark.read.parquet(f"{tmp_path}/a b/t.0").schema, rows=120)
+    cache = SegmentCache(spark, LRU(1 << 20))
+    cache.store(table, {table.paths[0]: ["id"], table.paths[1]: ["id", "x"]})
+    for mode in Mode:
+        rows = modes.scan(spark, table, call("lt", col("id"), lit(110)), ["x"], EngineConfig(mode=mode), cache).collect()
+        assert sorted(r.x for r in rows) == [2 * i for i in (*range(60), *range(100, 110))], mode
+    cache.clear()
+
+
+def _frozen_view(cache):
+    """The same held segments, to which nothing is added."""
+    view = SegmentCache(cache.spark, LRU(0), frozen=True)
+    view.frames = cache.frames
+    return view
+
+
 def key(c):
     return SegmentKey("t", "p", c)
 
