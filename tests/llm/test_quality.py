@@ -1,6 +1,8 @@
+import math
 import zlib
 
 import numpy as np
+import zstandard
 
 from spindrift.llm import compression_quality as Q
 from spindrift.llm import op_quality
@@ -16,6 +18,36 @@ def test_held_out_accuracy(spark):
     assert sum(p == q for p, q in held) / len(held) > 0.93
 
 
+def plain_score(model, text):
+    """The score by compressors made anew for every block, one text at a time."""
+    raw, sizes = (text or "").encode(), []
+    for words in (model.good, model.bad, None):
+        size = 0
+        for block in [raw[at : at + 4096] for at in range(0, len(raw), 4096)] or [b""]:
+            options = {}
+            if words is not None:
+                options["dict_data"] = zstandard.ZstdCompressionDict(words)
+                options["dict_data"].precompute_compress(level=3)
+            packed = zstandard.ZstdCompressor(level=3, write_content_size=False, write_dict_id=False, **options).compress(block)
+            back = zstandard.ZstdDecompressor(**options).decompress(packed, max_output_size=5000)
+            assert back == block
+            size += len(packed)
+        sizes.append(size)
+    good, bad, plain = sizes
+    x = [(good - bad) / (good + bad + 8), good / (len(raw) + 1), plain / (len(raw) + 1), math.log(len(raw) + 1)]
+    return float(model.calibrate(np.array([x]))[0])
+
+
+def test_scores_against_plain_python(spark):
+    """Also: the model doesn't depend on how its rows are dealt or ordered, as when tasks run again."""
+    d = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    model = Q.train(docs.repartition(7, "text"), labels.repartition(3, "quality"), remainder("doc_id", 5) != 0)
+    got = {r.doc_id: r.score for r in op_quality.query(spark, d).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows) and all(abs(got[r.doc_id] - plain_score(model, r.text)) < 1e-9 for r in rows)
+
+
 def test_odd_tables(spark):
     docs = spark.createDataFrame([(1, None, 0.5), (2, "", 0.1), (2, "", 0.2), (None, "x " * 200_000, None)], "doc_id long, text string, score double")
     learn = remainder("doc_id", 5) != 0
