@@ -13,13 +13,13 @@ from spindrift.config import EngineConfig, Mode, Prefilter, TransferOrder
 from spindrift.functions.expressions import call, col, lit
 from spindrift.operators import relational as R
 from spindrift.operators.bloom import prefilter
-from spindrift.plans import modes
+from spindrift.plans import modes, workload
 from spindrift.plans.joingraph import Edge, JoinGraph
 from spindrift.plans.queries_sql import SQL
 from spindrift.plans.sql import run_sql
 from spindrift.sources import files
 from spindrift.sources.cache import SegmentCache
-from spindrift.sources.catalog import Catalog, Table, collect_zones
+from spindrift.sources.catalog import Catalog, Table, collect_rows, collect_zones
 from spindrift.sources.policies import POLICIES, Belady, SegmentKey
 from spindrift.sources.shared import scratch_path
 from spindrift.streaming import windows
@@ -270,6 +270,47 @@ def _ops_q01(spark: SparkSession, folder: str) -> DataFrame:
     return R.sort(grouped, [("l_returnflag", "ASC"), ("l_linestatus", "ASC")]).select("l_returnflag", "l_linestatus", *money, F.round("aq", 4).alias("avg_qty"), F.round("ap", 4).alias("avg_price"), F.round("ad", 6).alias("avg_disc"), F.col("n").alias("count_order"))
 
 
+#: Shipping years that workloads of generated queries range over, and the policy that each is run under.
+YEARS = [str(y) for y in range(1995, 2002)]
+WORKLOADS = {
+    "uniform": ("lru", workload.uniform(YEARS, 6, 2, seed=1)),
+    "skewed": ("w-lfu", workload.skewed(YEARS, 6, 1.5, 2, seed=1)),
+    "recurring": ("lfu", workload.recurring(YEARS, 6, 2, 2, seed=1)),
+    "hot": ("lfu-s", workload.hot(YEARS, 6, 0.7, 2, seed=1)),
+}
+
+
+def _by_year(spark: SparkSession, folder: str) -> Table:
+    """A folder for each year, written without a shuffle: a year that holds most rows has the files of many tasks."""
+    path = scratch_path(spark, "lineitem-by-year")
+    lines = _table(spark, folder, "lineitem").select("l_discount", "l_extendedprice", "l_quantity", F.year("l_shipdate").alias("year"))
+    lines.write.partitionBy("year").parquet(f"{path}/lineitem.parquet")
+    table = Catalog.from_folder(spark, path, ["lineitem"])["lineitem"]
+    collect_rows(spark, table)
+    collect_zones(spark, table, ["year"])
+    return table
+
+
+def _workload(name: str) -> tuple[Query, str]:
+    """Generated queries one after another through one cache, which has room for the three columns of three years."""
+    policy, asked = WORKLOADS[name]
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        table = _once(spark, folder, "by year", lambda: _by_year(spark, folder))
+        cache = SegmentCache(spark, POLICIES[policy](3 * 3 * 8 * table.rows / len(YEARS)))
+        out = []
+        for i, years in enumerate(asked):
+            cache.new_query()
+            within = call("between", col("year"), lit(int(years[0])), lit(int(years[-1])))
+            df = modes.scan(spark, table, within, ["l_extendedprice", "l_discount"], EngineConfig(mode=Mode.HYBRID), cache)
+            revenue = F.coalesce(F.sum(F.col("l_extendedprice") * F.col("l_discount")), F.lit(0.0))
+            out.append(df.agg(F.lit(i).alias("query"), F.count("*").alias("n"), F.round(revenue + OFF, 2).alias("revenue")))
+        return reduce(DataFrame.unionByName, out)
+
+    one = "SELECT {i} AS query, CAST(count(*) AS BIGINT) AS n, round(coalesce(sum(l_extendedprice * l_discount), 0) + 0.0000037, 2) AS revenue FROM lineitem WHERE extract(year FROM l_shipdate) BETWEEN {a} AND {b}"
+    return query, " UNION ALL ".join(one.format(i=i, a=years[0], b=years[-1]) for i, years in enumerate(asked))
+
+
 def _stream_windows(spark: SparkSession, folder: str) -> DataFrame:
     return windows.run_available(windows.window_totals(windows.read_stream(spark, folder)), "windows")
 
@@ -313,3 +354,4 @@ FEATURES |= {f"pt_sql_{name}": _under(name, BLOOM) for name in _TEXTS}
 FEATURES |= {f"yannakakis_sql_{name}": _under(name, YANNAKAKIS) for name in _TEXTS}
 FEATURES |= {f"bloom_join_sql_{name}": _under(name, EngineConfig(prefilter=Prefilter.JOIN)) for name in ("q03_shipping_priority", "q05_local_supplier", "q10_returned_item", "q21_exists_not_exists")}
 FEATURES |= {f"{mode.value}_sql_{name}": _under(name, EngineConfig(mode=mode)) for mode in Mode for name in ("q03_shipping_priority", "q05_local_supplier", "q06_forecast", "q10_returned_item")}
+FEATURES |= {f"workload_{name}": _workload(name) for name in WORKLOADS}

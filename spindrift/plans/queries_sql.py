@@ -151,3 +151,21 @@ WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0)
     "set_except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 0",
     "window_rank": "SELECT n_regionkey, s_suppkey, rk FROM (SELECT n_regionkey, s_suppkey, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY s_acctbal DESC, s_suppkey) AS BIGINT) AS rk FROM supplier, nation WHERE s_nationkey = n_nationkey) t WHERE rk <= 3",
 }
+
+
+def _star(by: str, tables: str, filters: str) -> str:
+    """A star query of revenue by month and other columns; filters come in the order of dimension, measure, year."""
+    month = "CAST(extract(year FROM o_orderdate) * 100 + extract(month FROM o_orderdate) AS BIGINT)"
+    return f"SELECT {month} AS month, {by}, round(sum({REVENUE}) + 0.0000037, 2) AS revenue FROM lineitem, orders, {tables} WHERE l_orderkey = o_orderkey AND {filters} GROUP BY {month}, {by}"
+
+
+_SOLD = "l_suppkey = s_suppkey AND s_nationkey = sn.n_nationkey"
+_BOUGHT = "o_custkey = c_custkey AND c_nationkey = cn.n_nationkey"
+#: Star queries as a workload generator makes them: drill-downs of three kinds, each at a dimension value, a band of a measure and a year.
+SQL |= {
+    "ssb_generated_1": _star("p_brand", "part, supplier, nation sn, region", f"l_partkey = p_partkey AND {_SOLD} AND n_regionkey = r_regionkey AND r_name = 'EUROPE' AND p_brand BETWEEN 'Brand#1' AND 'Brand#3' AND l_discount BETWEEN 0.01 AND 0.03 AND extract(year FROM o_orderdate) = 1996"),
+    "ssb_generated_2": _star("c_mktsegment, s_name", "supplier, customer, nation sn, nation cn", f"{_SOLD} AND {_BOUGHT} AND sn.n_regionkey = 3 AND cn.n_regionkey = 3 AND l_quantity BETWEEN 16 AND 26 AND extract(year FROM o_orderdate) = 1995"),
+    "ssb_generated_3": _star("sn.n_name, p_type", "supplier, customer, part, nation sn, nation cn", f"l_partkey = p_partkey AND {_SOLD} AND {_BOUGHT} AND sn.n_regionkey = 4 AND cn.n_regionkey = 4 AND (p_brand = 'Brand#2' OR p_brand = 'Brand#3') AND l_discount BETWEEN 0 AND 0.02 AND extract(year FROM o_orderdate) = 1995"),
+    "ssb_generated_4": _star("p_brand", "part, supplier, nation sn, region", f"l_partkey = p_partkey AND {_SOLD} AND n_regionkey = r_regionkey AND r_name = 'ASIA' AND p_brand = 'Brand#5' AND l_quantity BETWEEN 17 AND 27 AND extract(year FROM o_orderdate) = 1997"),
+    "ssb_generated_5": _star("c_name, s_name", "supplier, customer, nation sn, nation cn", f"{_SOLD} AND {_BOUGHT} AND sn.n_name IN ('NATION_3', 'NATION_6') AND cn.n_regionkey = 1 AND l_quantity BETWEEN 12 AND 22 AND extract(year FROM o_orderdate) = 1996"),
+}
