@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spindrift.config import EngineConfig, Prefilter, TransferOrder
 from spindrift.operators.bloom import build, probe
@@ -42,6 +44,10 @@ class Edge:
         return target != preserved
 
 
+#: Estimates of distinct keys are off by a fiftieth; a key of which a relation has more rows than this on average repeats.
+KEY_ERROR, REPEATS = 0.02, 1.1
+
+
 @dataclass
 class Reduction:
     """What one transfer did, for reports."""
@@ -68,6 +74,8 @@ class JoinGraph:
     #: Relations that are whole tables; until something reduces them, their keys are not sent.
     whole: set[str] = field(default_factory=set)
     hash_keys: dict[str, str] = field(default_factory=dict)
+    #: Mean rows of a key, by relation and key, as far as ``count_keys`` had to look.
+    per_key: dict[tuple[str, tuple[str, ...]], float] = field(default_factory=dict)
 
     def size(self, name: str) -> tuple[int, str]:
         return self.rows[name], name
@@ -131,16 +139,43 @@ class JoinGraph:
                 untouched.discard(target)
                 sent.pop(target, None)
                 done.append(Reduction(source, target, config.prefilter.value, phase))
-        return JoinGraph(reduced, self.rows, self.edges, done, self.whole, self.hash_keys)
+        return JoinGraph(reduced, self.rows, self.edges, done, self.whole, self.hash_keys, self.per_key)
+
+    def count_keys(self) -> JoinGraph:
+        """Estimates how often keys repeat in the smaller relation of each edge, and in the larger one where they do in the
+        smaller: a job for each of the two, linear in the rows."""
+        smaller = {(n, e.keys(n)) for e in self.edges for n in [min(e.left, e.right, key=self.size)]}
+        self._count(smaller)
+        self._count({(n, e.keys(n)) for e in self.edges for o, n in [sorted((e.left, e.right), key=self.size)] if self.per_key[o, e.keys(o)] > REPEATS} - smaller)
+        return self
+
+    def _count(self, wanted: set[tuple[str, tuple[str, ...]]]) -> None:
+        counts, listed = [], sorted(wanted)
+        for name in dict.fromkeys(n for n, _ in listed):
+            values = []
+            for i, keys in ((i, keys) for i, (n, keys) in enumerate(listed) if n == name):
+                there = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+                distinct = F.approx_count_distinct(F.when(there, F.xxhash64(*keys)), KEY_ERROR)
+                values.append(F.struct(F.lit(i).alias("i"), (F.count(F.when(there, 1)) / F.greatest(distinct, F.lit(1))).alias("n")))
+            counts.append(self.relations[name].agg(F.array(*values).alias("found")))
+        for r in reduce(DataFrame.union, counts).collect() if counts else []:
+            self.per_key |= {listed[x["i"]]: x["n"] for x in r["found"]}
+
+    def times(self, edge: Edge) -> float:
+        """How many times the rows of one side a join has: the rows of a key in the side where keys repeat less; 1 where that
+        is next to none, or not known."""
+        least = min((self.per_key[k] for n in (edge.left, edge.right) if (k := (n, edge.keys(n))) in self.per_key), default=1.0)
+        return least if least > REPEATS else 1.0
 
     def order(self) -> list[str]:
         """Left-deep: the smallest relation, then always the one whose join with what is joined is estimated smallest;
-        co-located joins count half."""
+        co-located joins count half. Joins that multiply rows (keys repeat on both sides) grow with the product of the sides
+        and come last, so that such an edge is a further condition wherever its relations have another way to each other."""
         names = sorted(self.relations, key=self.size)
         order = [names[0]]
         while len(order) < len(names):
             rest = [n for n in names if n not in order]
-            linked = {n: min(estimated_rows(e, self.rows, self.hash_keys) if co_located([e], self.hash_keys) else float(self.rows[n]) for o in order for e in self.between(n, o)) for n in rest if any(self.between(n, o) for o in order)}
+            linked = {n: min((self.times(e), estimated_rows(e, self.rows, self.hash_keys) if co_located([e], self.hash_keys) else float(self.rows[n])) for o in order for e in self.between(n, o)) for n in rest if any(self.between(n, o) for o in order)}
             order.append(min(linked, key=lambda n: (linked[n], self.size(n))) if linked else rest[0])
         return order
 

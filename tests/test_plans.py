@@ -198,6 +198,21 @@ def test_predicate_transfer_reduces_and_keeps_answers(spark):
     assert all(graph.size(a) < graph.size(b) for a, b in directed) and len(graph.breadth_first()) == 5
 
 
+def test_joins_that_multiply_rows_come_last(spark):
+    order = features.q05_graph(spark, "/root/testdata/sf0.01").order()
+    assert order.index("customer") > order.index("orders") > order.index("lineitem")  # not by the supplier's nation alone
+    a = spark.range(40).selectExpr("id AS x", "id % 4 AS g")
+    b = spark.range(60).selectExpr("id AS y", "id % 40 AS x_of_y", "id % 4 AS h")
+    c = spark.range(900).selectExpr("id AS z", "id % 60 AS y_of_z", "nullif(id % 40, 0) AS x_of_z")
+    edges = [Edge("a", "b", ("g",), ("h",)), Edge("b", "c", ("y",), ("y_of_z",)), Edge("a", "c", ("x",), ("x_of_z",))]
+    graph = JoinGraph({"a": a, "b": b, "c": c}, {"a": 40, "b": 60, "c": 900}, edges).count_keys()
+    assert graph.times(edges[0]) == pytest.approx(10, rel=0.1) and graph.times(edges[1]) == graph.times(edges[2]) == 1.0
+    assert graph.order() == ["a", "c", "b"] and graph.join(graph.order()).count() == graph.join(["a", "b", "c"]).count()
+    # keys that repeat in the smaller relation but not in the larger one multiply nothing
+    few = spark.range(20).selectExpr("id % 2 AS k")
+    assert JoinGraph({"few": few, "a": a}, {"few": 20, "a": 40}, [one := Edge("few", "a", ("k",), ("x",))]).count_keys().times(one) == 1.0
+
+
 def test_outer_joins_are_never_reduced_wrongly(spark):
     a = spark.createDataFrame([(1,), (2,), (None,)], "x long")
     b = spark.createDataFrame([(2,), (3,), (None,)], "y long")
