@@ -23,7 +23,7 @@ from spindrift.config import EngineConfig, Mode
 from spindrift.functions.expressions import Node, columns_of, leaves, to_column, typed
 from spindrift.operators.pruning import prune, selectivity
 from spindrift.sources import files
-from spindrift.sources.cache import FILE, ROW, Block, SegmentCache, with_rows
+from spindrift.sources.cache import FILE, ROW, Block, SegmentCache, stitch, with_rows
 from spindrift.sources.catalog import Table
 from spindrift.sources.policies import FILTER_RATE, NETWORK_RATE, SCAN_RATE, SegmentKey, pushdown_weight
 
@@ -79,7 +79,10 @@ def _from_cache(spark: SparkSession, table: Table, kept: dict[str, Node | None],
         if not rest:
             return where(df)
         fetched = with_rows(spark, table, partitions, rest)
-        return where(df).join(fetched, [FILE, ROW]) if columns_of(predicate) <= set(held) else where(df.join(fetched, [FILE, ROW]))
+        rows, dealt = cache.rows(partitions, held), len(set(held.values())) > 1
+        if columns_of(predicate) <= set(held):
+            return stitch(where(df), [fetched], rows, dealt=dealt)
+        return where(stitch(df, [fetched], rows, dealt=dealt))
 
     return [scan_of(*group) for group in by.values()]
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import math
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,6 +16,9 @@ from spindrift.sources.catalog import Table, partition_of
 from spindrift.sources.policies import Policy, SegmentKey
 
 FILE, ROW = "_file", "_row"
+#: Rows for each task that stitches columns. Spark deals by compressed bytes, of which a file's name in every row has next to
+#: none, or to a fixed number of tasks: either lets a task sort many times more.
+STITCHED_ROWS = 500_000
 
 
 @dataclass
@@ -34,12 +38,20 @@ def with_rows(spark: SparkSession, table: Table, partitions: list[str], columns:
     return table.read(spark, partitions).select(F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW), *sorted(columns))
 
 
+def stitch(first: DataFrame, others: Sequence[DataFrame], rows: int, *, dealt: bool = False) -> DataFrame:
+    """The columns of frames side by side, by file and row number, in as many tasks as the rows ask for. ``dealt``: the first
+    comes from here and lies so already."""
+    n = max(1, math.ceil(rows / STITCHED_ROWS))
+    return reduce(lambda a, b: a.join(b.repartition(n, FILE, ROW), [FILE, ROW]), others, first if dealt else first.repartition(n, FILE, ROW))
+
+
 @dataclass(eq=False)
 class Block:
-    """The same columns of some partitions, persisted by one job; ``files`` are those of each partition."""
+    """The same columns of some partitions, persisted by one job; ``files`` and ``rows`` are those of each partition."""
 
     frame: DataFrame
     files: dict[str, list[str]]
+    rows: dict[str, int]
     held: set[SegmentKey]
     size: float
 
@@ -94,7 +106,14 @@ class SegmentCache:
             floating = {f.name for f in block.frame.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
             return block.rows_of(partitions).select(FILE, ROW, *(F.nanvl(c, c).alias(c) if c in floating else c for c in columns))
 
-        return reduce(lambda a, b: a.join(b, [FILE, ROW]), [part(block, columns) for block, columns in by.items()])
+        first, *others = (part(block, columns) for block, columns in by.items())
+        return stitch(first, others, self.rows(partitions, blocks)) if others else first
+
+    @staticmethod
+    def rows(partitions: list[str], blocks: Mapping[str, Block]) -> int:
+        """Rows of partitions that lie in the blocks."""
+        block = next(iter(blocks.values()))
+        return sum(block.rows[p] for p in partitions)
 
     def size(self, table: Table, column: str) -> float:
         rows = (table.rows or 1_000_000) / max(len(table.paths), 1)
@@ -136,11 +155,13 @@ class SegmentCache:
         """One job, which also says which files the partitions have."""
         frame = with_rows(self.spark, table, partitions, columns).persist(StorageLevel.MEMORY_AND_DISK)
         files: dict[str, list[str]] = {p: [] for p in partitions}
+        rows = dict.fromkeys(partitions, 0)
         find = partition_of(partitions)
         for r in frame.groupBy(FILE).count().collect():
             files[find(r[FILE])].append(r[FILE])
+            rows[find(r[FILE])] += r["count"]
         keys = {SegmentKey(table.name, p, c) for p in partitions for c in columns}
-        block = Block(frame, files, keys, sum(self.policy.held[k].size for k in keys))
+        block = Block(frame, files, rows, keys, sum(self.policy.held[k].size for k in keys))
         self.frames.update(dict.fromkeys(keys, block))
 
     def _shrink(self, block: Block) -> None:
@@ -157,6 +178,7 @@ class SegmentCache:
         frame.count()
         block.frame.unpersist()
         block.frame, block.files, block.size = frame, {p: block.files[p] for p in partitions}, left
+        block.rows = {p: block.rows[p] for p in partitions}
 
     def clear(self) -> None:
         for block in set(self.frames.values()):

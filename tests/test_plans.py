@@ -213,6 +213,28 @@ def test_joins_that_multiply_rows_come_last(spark):
     assert JoinGraph({"few": few, "a": a}, {"few": 20, "a": 40}, [one := Edge("few", "a", ("k",), ("x",))]).count_keys().times(one) == 1.0
 
 
+def test_stitching_deals_rows_by_their_number(spark, monkeypatch):
+    from spindrift.sources import cache as of
+
+    monkeypatch.setattr(of, "STITCHED_ROWS", 300)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = Catalog.from_folder(spark, D, ["lineitem"])["lineitem"]
+        plain = table.read(spark).select("l_discount", "l_quantity")
+        for first in (["l_discount"], ["l_discount", "l_tax"]):
+            cache = SegmentCache(spark, LRU(1 << 30))
+            for c in first:
+                modes.scan(spark, table, None, [c], EngineConfig(mode=Mode.CACHING_ONLY), cache)
+            cache.frozen = True
+            stitched = modes.scan(spark, table, None, ["l_discount", "l_quantity", *first[1:]], EngineConfig(mode=Mode.CACHING_ONLY), cache)
+            # with four shuffle partitions a task would get a quarter of both sides, however many rows there are
+            assert stitched.rdd.getNumPartitions() >= plain.count() / 300 and stitched.rdd.glom().map(len).max() < 600
+            assert sorted(stitched.select("l_discount", "l_quantity").collect()) == sorted(plain.collect())
+            cache.clear()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_outer_joins_are_never_reduced_wrongly(spark):
     a = spark.createDataFrame([(1,), (2,), (None,)], "x long")
     b = spark.createDataFrame([(2,), (3,), (None,)], "y long")
