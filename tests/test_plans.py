@@ -213,6 +213,12 @@ def test_joins_that_multiply_rows_come_last(spark):
     assert JoinGraph({"few": few, "a": a}, {"few": 20, "a": 40}, [one := Edge("few", "a", ("k",), ("x",))]).count_keys().times(one) == 1.0
 
 
+@pytest.mark.parametrize(("how", "by"), [(Prefilter.SEMI, TransferOrder.BREADTH_FIRST), (Prefilter.BLOOM, TransferOrder.BREADTH_FIRST), (Prefilter.BLOOM, TransferOrder.SMALL_TO_LARGE)])
+def test_reduced_graphs_join_by_keys_that_do_not_multiply(spark, how, by):
+    order = features.q05_graph(spark, "/root/testdata/sf0.01").transfer(EngineConfig(prefilter=how, transfer_order=by)).order()
+    assert order.index("customer") > order.index("orders")
+
+
 def test_stitching_deals_rows_by_their_number(spark, monkeypatch):
     from spindrift.sources import cache as of
 
