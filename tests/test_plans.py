@@ -219,7 +219,8 @@ def test_reduced_graphs_join_by_keys_that_do_not_multiply(spark, how, by):
     assert order.index("customer") > order.index("orders")
 
 
-def test_stitching_deals_rows_by_their_number(spark, monkeypatch):
+@pytest.mark.parametrize("mode", [Mode.CACHING_ONLY, Mode.HYBRID])
+def test_stitching_deals_rows_by_their_number(spark, monkeypatch, mode):
     from spindrift.sources import cache as of
 
     monkeypatch.setattr(of, "STITCHED_ROWS", 300)
@@ -232,7 +233,7 @@ def test_stitching_deals_rows_by_their_number(spark, monkeypatch):
             for c in first:
                 modes.scan(spark, table, None, [c], EngineConfig(mode=Mode.CACHING_ONLY), cache)
             cache.frozen = True
-            stitched = modes.scan(spark, table, None, ["l_discount", "l_quantity", *first[1:]], EngineConfig(mode=Mode.CACHING_ONLY), cache)
+            stitched = modes.scan(spark, table, None, ["l_discount", "l_quantity", *first[1:]], EngineConfig(mode=mode), cache)
             # with four shuffle partitions a task would get a quarter of both sides, however many rows there are
             assert stitched.rdd.getNumPartitions() >= plain.count() / 300 and stitched.rdd.glom().map(len).max() < 600
             assert sorted(stitched.select("l_discount", "l_quantity").collect()) == sorted(plain.collect())
