@@ -185,6 +185,22 @@ def test_bloom(spark):
     assert bloom.prefilter(probe, ["k"], build.limit(0), ["k"], rows=0).count() == 0
 
 
+def test_bloom_filters_are_words_that_are_read_in_place(spark):
+    keys = spark.range(0, 3000, 3).withColumnRenamed("id", "k")
+    k, blocks = bloom.parameters(4 * 1000, 0.01)
+    filter_ = bloom.build(keys, ["k"], 4 * 1000, 0.01)
+    assert dict(filter_.dtypes) == {"block": "bigint", "words": "array<bigint>"}  # a binary would be copied for each row
+    found = {(r.block, i * 64 + j) for r in filter_.collect() for i, w in enumerate(r.words) for j, x in enumerate(reversed(f"{w % 2**64:064b}")) if x == "1"}
+    want = keys.select(bloom._block([F.col("k")], blocks).alias("block"), F.explode(F.array(*bloom._bits([F.col("k")], k))).alias("bit")).collect()
+    assert blocks > 1 and found == {(r.block, r.bit ^ 56) for r in want}  # a word's first byte is its highest
+    every = spark.range(20000).withColumnRenamed("id", "k")
+    kept = {r.k for r in bloom.probe(every, ["k"], filter_, 4 * 1000, 0.01).collect()}
+    bits: dict[int, set] = {}
+    for r in every.select("k", bloom._block([F.col("k")], blocks).alias("block"), F.array(*bloom._bits([F.col("k")], k)).alias("bits")).collect():
+        bits[r.k] = {(r.block, b ^ 56) for b in r.bits}
+    assert kept == {n for n, b in bits.items() if b <= found}
+
+
 def test_predicate_transfer_reduces_and_keeps_answers(spark):
     graph = features.q05_graph(spark, D)
     want = graph.join(graph.order()).count()
