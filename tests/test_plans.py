@@ -235,6 +235,18 @@ def test_reduced_graphs_join_by_keys_that_do_not_multiply(spark, how, by):
     assert order.index("customer") > order.index("orders")
 
 
+def test_keys_of_an_edge_are_sent_once(spark):
+    a = spark.range(8).selectExpr("id AS x")
+    b = spark.range(4000).selectExpr("if(id % 100 = 0, id % 400 / 100, 3) AS x_of_b", "id AS y_of_b")  # 3 is in nearly all rows
+    c = spark.range(5000).selectExpr("id AS y")
+    edges = [Edge("a", "b", ("x",), ("x_of_b",)), Edge("b", "c", ("y_of_b",), ("y",))]
+    graph = JoinGraph({"a": a, "b": b, "c": c}, {"a": 8, "b": 4000, "c": 5000}, edges)
+    reduced = graph.transfer(EngineConfig(prefilter=Prefilter.SEMI, transfer_order=TransferOrder.BREADTH_FIRST))
+    sent = reduced.relations["a"]._jdf.queryExecution().analyzed().right()
+    rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, sent).collectAsList()
+    assert rows.size() == 4 and {r.x for r in reduced.relations["a"].collect()} == {0, 1, 2, 3}
+
+
 @pytest.mark.parametrize("mode", [Mode.CACHING_ONLY, Mode.HYBRID])
 def test_stitching_deals_rows_by_their_number(spark, monkeypatch, mode):
     from spindrift.sources import cache as of
