@@ -17,6 +17,9 @@ BLOCK_BITS = 1 << 15
 WORD_BITS = 64
 #: Filters up to this many bytes are broadcast; a larger one is joined as Spark chooses.
 MAX_BROADCAST_BYTES = 32 << 20
+#: Rows of the keys that a task makes blocks of. It gets all keys of its blocks: were blocks made where keys lie, each task would
+#: send nearly the whole filter, and what is shuffled would grow with tasks times rows.
+DEALT_ROWS = 500_000
 
 
 def parameters(rows: int, rate: float) -> tuple[int, int]:
@@ -37,8 +40,9 @@ def _bits(keys: Sequence[Column], k: int) -> list[Column]:
 def build(df: DataFrame, keys: Sequence[str], rows: int, rate: float = 0.01) -> DataFrame:
     """Columns block and words (512 of 64 bits). ``rows`` is the number expected; more only raise the rate."""
     k, blocks = parameters(rows, rate)
-    columns = [F.col(c) for c in keys]
-    rows_of = df.where(F.expr(" and ".join(f"`{c}` is not null" for c in keys))).select(_block(columns, blocks).alias("block"), F.explode(F.array(*_bits(columns, k))).alias("bit"))
+    there = df.where(F.expr(" and ".join(f"`{c}` is not null" for c in keys)))
+    dealt = there.select(_block([F.col(c) for c in keys], blocks).alias("block"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keys))).repartition(max(1, math.ceil(rows / DEALT_ROWS)), "block")
+    rows_of = dealt.select("block", F.explode(F.array(*_bits([F.col(f"_k{i}") for i in range(len(keys))], k))).alias("bit"))
     bitmaps = rows_of.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
     word = lambda i: F.conv(F.hex(F.substring("bitmap", i * (WORD_BITS // 8) + 1, F.lit(WORD_BITS // 8))), 16, -10).cast("long")
     return bitmaps.select("block", F.transform(F.sequence(F.lit(0), F.lit(BLOCK_BITS // WORD_BITS - 1)), word).alias("words"))

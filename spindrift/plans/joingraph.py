@@ -130,10 +130,11 @@ class JoinGraph:
                 a, b = reduced[source], reduced[target]
                 if exact or sum(source in (x.left, x.right) for x in self.edges) > 1:
                     a = sent[source] = sent[source] if source in sent else self._sent(source, a)
+                    mine = dict.fromkeys(e.keys(source))
+                    if len(a.columns) > len(mine):  # else a key that many rows have would go to one task with all of them
+                        a = a.select(*mine).distinct()
                 if exact:
                     keys = a.select(*(a[k].alias(f"_k{i}") for i, k in enumerate(e.keys(source))))
-                    if len(a.columns) > len(keys.columns):  # else a key that many rows have would go to one task with all of them
-                        keys = keys.distinct()
                     reduced[target] = b.join(keys, [b[k] == keys[f"_k{i}"] for i, k in enumerate(e.keys(target))], "left_semi")
                 else:
                     bloom = _written(build(a, e.keys(source), self.rows[source], config.bloom_rate), "bloom")

@@ -201,6 +201,15 @@ def test_bloom_filters_are_words_that_are_read_in_place(spark):
     assert kept == {n for n, b in bits.items() if b <= found}
 
 
+def test_bloom_filters_are_dealt_by_block_before_bits_are_made(spark):
+    keys = spark.range(0, 4000, 1, 8).select(F.col("id").alias("block"), (F.col("id") % 7).alias("other"))
+    plan = bloom.build(keys, ["block", "other"], 3 * bloom.DEALT_ROWS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate explode") < plan.index("Exchange")  # printed from the last step on
+    assert "hashpartitioning(block" in plan and ", 3), REPARTITION_BY_NUM" in plan
+    kept = bloom.prefilter(keys, ["block", "other"], keys.where("block < 1000"), ["block", "other"], rows=1000)
+    assert set(range(1000)) <= {r.block for r in kept.collect()} and kept.count() < 1000 + 0.03 * 3000
+
+
 def test_predicate_transfer_reduces_and_keeps_answers(spark):
     graph = features.q05_graph(spark, D)
     want = graph.join(graph.order()).count()
